@@ -29,8 +29,8 @@ class Workspace:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        with arrow_rows(self.spark):
+    def save(self, df: DataFrame, name: str, rows: int = ARROW_ROWS) -> DataFrame:
+        with arrow_rows(self.spark, rows):
             df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
