@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat_format, decontaminate, sharding, url_filter
+from corvane.llm import chat_format, decontaminate, near_dedup, packing, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_chat_formatting": chat_format.op3_chat_formatting,
+    "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
 }
