@@ -9,8 +9,9 @@ one and the same place wherever it occurs). Anchored suffixes are ordered by the
 context, the bytes on both sides that any window through the anchor can see. Suffixes with equal context form a run -
 the equal neighbours that a Burrows-Wheeler transform turns into runs in repetitive corpora - and a run keeps one
 sample, its smallest document. Matching statistics are then taken per window: in a run that a smaller document opens,
-all windows match; in other runs of a gram with several contexts, each window of the run's first document is looked
-up by its own hash. All else cannot match.
+all windows match; in other runs of a gram with several contexts, the run's first document asks which cores of its
+windows (about 42 bytes) other documents hold, and windows over those are looked up by their own hash. All else cannot
+match.
 
 A full r-index of the corpus is not built: its backward search names one occurrence, not the smallest document, and
 its transform needs the corpus sorted as one string. See the README.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from corvane.llm.blocks import LAST, Blocks, map_blocks, reduce_parts, split
 from corvane.llm.work import Workspace, mix64, read
 
-GRAM, GAP = 16, 64
+GRAM, GAP, GROUP = 16, 64, 9
 TABLE = np.random.default_rng(50_016).integers(0, 2**63, 257, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 C1, C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -90,13 +91,26 @@ class Anchors:
             self.part = ((gram >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             self.key = ((gram & np.uint64((1 << 28) - 1)) << np.uint64(36)) | (context >> np.uint64(28))
 
-    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+    def hashes(self, at: np.ndarray, length: int, kind: int) -> np.ndarray:
+        """Of the strings of ``length`` bytes that start at ``at``."""
         with np.errstate(over="ignore"):
-            x, k = np.zeros(len(at), np.uint64), 0
-            while k + GRAM < self.span:
+            x, k = np.full(len(at), kind, np.uint64), 0
+            while k + GRAM < length:
                 x = mix64((x ^ self.h[at + k]) * C2 + np.uint64(3))
                 k += GRAM
-            return mix64((x ^ self.h[at + self.span - GRAM]) * C2)
+            return mix64((x ^ self.h[at + length - GRAM]) * C2)
+
+    def cores(self, which: np.ndarray):
+        """The windows through each of these anchors in groups of neighbours: (anchors, core hashes, first, last window).
+
+        All windows of a group cover its core, so windows can be equal only where cores are.
+        """
+        p, lo, hi = self.p[which], self.lo[which], self.hi[which]
+        for kind, near in enumerate(range(0, self.span - GRAM + 1, GROUP)):
+            far = min(near + GROUP - 1, self.span - GRAM)
+            first, last = np.maximum(lo, p - far), np.minimum(hi, p - near)
+            some = np.flatnonzero(first <= last)
+            yield which[some], self.hashes(p[some] - near, self.span - far + near, kind + 1), first[some], last[some]
 
 
 def ranks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +187,7 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
             out[1].append(int(later.sum()).to_bytes(8, "little") + kk[later].tobytes() + least_of[later].tobytes() + kk[~later].tobytes())
         yield out if out[0] else None
 
-    def windows(block, ids, lengths, data, blobs):
+    def contexts(block, ids, lengths, data, blobs):
         a, (names, rank) = Anchors(lengths, data, span, parts), ranks(ids)
         if not len(a.p):
             return
@@ -200,13 +214,56 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
         c = np.sort(np.concatenate(contested)) if contested else np.zeros(0, np.uint64)
         if not len(c):
             return
-        ask = np.flatnonzero(~done & (c[np.minimum(np.searchsorted(c, a.key), len(c) - 1)] == a.key))
-        if not len(ask):
+        asked = np.flatnonzero(~done & (c[np.minimum(np.searchsorted(c, a.key), len(c) - 1)] == a.key))
+        if not len(asked):
             return
-        counts = a.hi[ask] - a.lo[ask] + 1
-        at = np.repeat(a.lo[ask], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        doc = np.repeat(own[ask], counts)
-        whash = a.window_hashes(at)
+        yield [[-2], [block], [np.unique(a.key[asked]).tobytes()], [b""], [b""]]
+        groups = list(a.cores(asked))
+        core, doc = np.concatenate([g[1] for g in groups]), own[np.concatenate([g[0] for g in groups])]
+        part = (core % np.uint64(parts)).astype(np.int64)
+        one, new, least = first_of(part, core, doc)
+        several = np.unique(core[least < doc])
+        yield _send(part[one], core[one], names[doc[one]], block, parts, np.isin(core[one], several))
+
+    def shared_cores(rows):
+        key = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        ids = np.concatenate([decode_ids(r[3]) for r in rows])
+        several = np.concatenate([np.frombuffer(r[4], bool) for r in rows])
+        source = np.repeat(np.arange(len(rows)), [len(r[2]) // 8 for r in rows])
+        order = np.lexsort((ids, key))
+        k, i = key[order], ids[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        group = np.cumsum(new) - 1
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(k) - 1)
+        shared = (i[last] > i[new]) | (np.bincount(group, weights=several[order]) > 0)
+        told = np.flatnonzero(shared[group])
+        out = [[], []]
+        for s, (kk,) in split(source[order][told], len(rows), k[told]):
+            out[0].append(rows[s][1])
+            out[1].append(b"\1" + kk.tobytes())
+        yield out if out[0] else None
+
+    def windows(block, ids, lengths, data, blobs):
+        keys = [np.frombuffer(x, np.uint64, offset=1) for x in blobs if x[0] == 0]
+        shared = [np.frombuffer(x, np.uint64, offset=1) for x in blobs if x[0] == 1]
+        if not keys or not shared:
+            return
+        a, (names, rank) = Anchors(lengths, data, span, parts), ranks(ids)
+        own = rank[a.doc]
+        _, _, least = first_of(a.part, a.key, own)
+        asked = np.flatnonzero((least == own) & np.isin(a.key, np.concatenate(keys)))
+        shared = np.concatenate(shared)
+        at, doc = [], []
+        for which, core, first, last in a.cores(asked):
+            pick = np.isin(core, shared)
+            which, first, counts = which[pick], first[pick], (last - first + 1)[pick]
+            at.append(np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+            doc.append(np.repeat(own[which], counts))
+        at, doc = np.concatenate(at), np.concatenate(doc)
+        if not len(at):
+            return
+        whash = a.hashes(at, span, 0)
         part = (whash % np.uint64(parts)).astype(np.int64)
         _, _, least = first_of(part, whash, doc)
         here = least < doc
@@ -216,8 +273,6 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
         yield _send(part[rest], whash[rest], names[doc[rest]], block, parts, at[rest].astype(np.uint32))
 
     def look_up(rows):
-        if rows[0][0] == -1:
-            return
         key = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
         ids = np.concatenate([decode_ids(r[3]) for r in rows])
         at = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
@@ -235,9 +290,13 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
 
     sent = map_blocks(blocks.rows(), runs, "part int, block long, keys binary, ids binary")
     told = reduce_parts(sent, open_runs, "block long, blob binary")
-    asked = blocks.save(map_blocks(blocks.with_info(told), windows, "part int, block long, keys binary, ids binary, at binary"), "asked")
-    known = asked.where("part < 0").select("block", F.col("keys").alias("blob"))
-    found = reduce_parts(asked.where("part >= 0"), look_up, "block long, blob binary")
+    shape = "part int, block long, keys binary, ids binary, more binary"
+    asked = blocks.save(map_blocks(blocks.with_info(told), contexts, shape), "asked")
+    own_keys = asked.where("part = -2").select("block", F.concat(F.lit(b"\0"), "keys").alias("blob"))
+    cores = reduce_parts(asked.where("part >= 0"), shared_cores, "block long, blob binary")
+    looked = blocks.save(map_blocks(blocks.with_info(own_keys.unionByName(cores)), windows, shape), "looked")
+    found = reduce_parts(looked.where("part >= 0"), look_up, "block long, blob binary")
+    known = asked.unionByName(looked).where("part = -1").select("block", F.col("keys").alias("blob"))
     return blocks, known.unionByName(found)
 
 
@@ -291,7 +350,7 @@ def passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str
 
     result = blocks.save(map_blocks(blocks.with_info(info), judge, schema), "judged")
     blocks.drop()
-    work.drop("asked")
+    work.drop("asked", "looked")
     return result
 
 
