@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column) -> Column:
@@ -67,12 +68,12 @@ def vector_cast(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def serialize(v: pd.Series) -> pd.Series:
     """Little-endian 4-byte floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def deserialize(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(bytes(x), "<f4").astype(np.float64))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import tokenize
 from corvane.functions.vector import cosine_similarity
@@ -25,7 +26,7 @@ def hybrid_score(cosine: Column, bm25: Column, bm25_max: Column, weight: float,
     return (1 - weight) * semantic + weight * lexical
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def formula_text(weight: pd.Series, cosine: pd.Series, boosts: pd.Series, lexical: pd.Series, final: pd.Series) -> pd.Series:
     """The fused score spelt out, three digits a part."""
     short = lambda x: f"{x:g}"
