@@ -11,9 +11,10 @@ Equal sets are one class. Between classes:
    most of any large group at once, in linear work.
 2. In buckets whose members are still in different components, those outside are tried against one member of the
    bucket's component of most members.
-3. What is still apart in a bucket is tried pair by pair, across components only. Where that would be more than
-   ``cross`` pairs a member, members first meet on the rarest shingles of the bucket: two sets that reach the
-   threshold share one of the first |set| - ceil(share * |set|) + 1 shingles in any common order (prefix filter).
+3. Members of buckets that are still apart meet on their rarest shingles (prefix filter with positions): two sets that
+   reach the threshold share a shingle that is early in both, in any common order of shingles; here by how many such
+   members hold it, counted in a sketch of fixed size that only orders, so its errors cost time and no link. Pairs of
+   different components that meet there are judged on full sets.
 
 So every pair that shares a band is either in one component already or judged on full sets, nothing is capped, and no
 step writes all pairs of a group. Components are found by rounds over tables (``graph``). Pairs at the threshold miss
@@ -27,13 +28,11 @@ ignored or, in ``drop_near_duplicates``, kept; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components
@@ -108,114 +107,135 @@ def signatures(docs: DataFrame, *, shingle: int, perms: int, rows: int, key: str
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, set_digest binary, bands array<long>")
 
 
-class Judge:
-    """Confirms candidate pairs (a, b) on the full sets of the documents they name."""
+def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text: str) -> DataFrame:
+    """id and set (sorted 8-byte hashes) of the documents of ``ids``."""
 
-    def __init__(self, docs: DataFrame, work: Workspace, *, shingle: int, percent: int, key: str, text: str):
-        self.docs, self.work, self.shingle, self.percent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")), work, shingle, percent
-
-    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
-        shingle = self.shingle
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle, hashes).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["id", "set"])
 
-        def run(batches):
-            hashes = WordHashes()
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle, hashes).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["id", "set"])
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return slim.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, set binary")
 
-        met = self.docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, set binary")
-        return self.work.save(met, name)
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        percent, sets = self.percent, self.sets(pairs, f"{name}-sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
-        def run(batches):
-            for batch in batches:
-                a, b = batch.column("a"), batch.column("b")
-                keep = []
-                for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    both = np.concatenate([p, q])
-                    both.sort(kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * same >= percent * (len(both) - same))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * same >= percent * (len(both) - same))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def holders_sketch(sets: DataFrame, bits: int = 18) -> np.ndarray:
+    """How many sets hold a shingle, by the low ``bits`` of its hash: tasks count, the driver gets the sums."""
+    piece = 1 << 14
+
+    def count(batches):
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for x in batch.column(0):
+                counts += np.bincount(np.frombuffer(x.as_buffer(), np.uint64) & np.uint64((1 << bits) - 1), minlength=1 << bits).astype(np.uint32)
+        for k in range(0, 1 << bits, piece):
+            if counts[k : k + piece].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts[k : k + piece].tobytes()], pa.binary())], ["piece", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in table.column("counts"))
+        return pa.table({"piece": table.column("piece").slice(0, 1), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits, np.uint32)
+    for r in sets.select("set").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
+        out[r.piece : r.piece + piece] = np.frombuffer(bytes(r["counts"]), np.uint32)
+    return out
 
-        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        found = self.work.save(joined.mapInArrow(run, "a long, b long"), name)
-        self.work.drop(f"{name}-sets")
-        return found
 
+def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, component, shingle, place: the first shingles of each member by rarity, as many as a partner may need."""
+    mine = members.join(sets.withColumnRenamed("id", "rep"), "rep")
+    sketch = sets.sparkSession.sparkContext.broadcast(holders_sketch(mine))
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, perms: int = 48, rows: int = 4, cross: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches):
+        counts = sketch.value
+        for batch in batches:
+            reps, ns, components, shingles, places = [], [], [], [], []
+            for rep, n, component, x in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("component").to_pylist(), batch.column("set"), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                first = n - (percent * n + 99) // 100 + 1
+                held = counts[h & np.uint64(len(counts) - 1)]
+                order = np.lexsort((h, held))[:first]
+                reps += [rep] * len(order)
+                ns += [n] * len(order)
+                components += [component] * len(order)
+                shingles.append(h[order].view(np.int64))
+                places += range(len(order))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ns, pa.int64()), pa.array(components, pa.int64()), pa.array(np.concatenate(shingles) if shingles else []).cast(pa.int64()), pa.array(places, pa.int64())], ["rep", "n", "component", "shingle", "place"])
+
+    return mine.select("rep", "n", "component", "set").mapInArrow(run, "rep long, n long, component long, shingle long, place long")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, perms: int = 48, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id and kept (id = component_id)."""
     work = Workspace(docs.sparkSession, "near")
-    judge = Judge(docs, work, shingle=shingle, percent=percent, key=key, text=text)
     signed = work.save(signatures(docs, shingle=shingle, perms=perms, rows=rows, key=key, text=text), "signed")
     full = signed.where("set_digest IS NOT NULL AND id IS NOT NULL")
     classes = work.save(full.groupBy("set_digest").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     slots = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
-    # 1. Buckets of two or more, with their smallest class.
+    # 1. Buckets of two or more, with their smallest class. Sets are made once, for their members alone.
     heads = slots.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("head")).where("members > 1")
-    members = work.save(slots.join(heads, "bucket").select("bucket", "rep", "n", "members", "head"), "members")
+    members = work.save(slots.join(heads, "bucket").select("bucket", "rep", "n", "head"), "members")
+    sets = work.save(set_table(docs, members.select(F.col("rep").alias("id")).distinct(), shingle=shingle, key=key, text=text), "sets")
     pairs = work.save(members.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("head.n").alias("m")).where("a < b").where(near).select("a", "b").distinct(), "pairs1")
-    found = judge.links(pairs, "links1")
-    labels = components(found, work, "first-")
+    links = work.save(confirmed(pairs, sets, percent), "links1")
+    labels = components(links, work, "first-")
 
     # 2. and 3. Only buckets that still hold several components.
     for step in (2, 3):
         labels = work.save(labels, f"labels{step}")
-        placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        placed = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         per = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "n")).alias("pick"))
-        apart = per.groupBy("bucket").agg(F.count("*").alias("n_components"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.max(F.struct("size", "component", "pick")).alias("most")).where("n_components > 1")
-        placed = work.save(placed.join(apart, "bucket"), f"apart{step}")
+        apart = per.groupBy("bucket").agg(F.count("*").alias("n_components"), F.max(F.struct("size", "component", "pick")).alias("most")).where("n_components > 1")
+        placed = placed.join(apart, "bucket")
         if step == 2:
             tried = placed.where("component <> most.component").select("rep", "n", F.col("most.pick.rep").alias("other"), F.col("most.pick.n").alias("m"))
         else:
-            slim = placed.select("bucket", "rep", "n", "component", ((F.col("size") * F.col("size") - F.col("squares")) > 2 * cross * F.col("size")).alias("many"))
-            few, many = slim.where("NOT many").drop("many"), slim.where("many").drop("many")
-            if not many.isEmpty():
-                few = few.unionByName(_rare_buckets(many, judge, percent))
-            other = few.select("bucket", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"))
-            tried = few.join(other, "bucket").where("rep < other AND component <> other_component").select("rep", "n", "other", "m")
+            firsts = work.save(rarest(placed.select("rep", "n", "component").distinct(), sets, percent), "firsts")
+            seconds = firsts.select("shingle", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"), F.col("place").alias("other_place"))
+            early = (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) * (100 + percent)) >= percent * (F.col("n") + F.col("m"))
+            tried = firsts.join(seconds, "shingle").where((F.col("rep") < F.col("other")) & (F.col("component") != F.col("other_component")) & early).select("rep", "n", "other", "m")
         pairs = tried.where(near).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        pairs = work.save(pairs.join(work_pairs(work, step, docs), ["a", "b"], "left_anti"), f"pairs{step}")
+        pairs = work.save(pairs.join(earlier(work, step), ["a", "b"], "left_anti"), f"pairs{step}")
         if pairs.isEmpty():
             continue
-        found = work.save(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(judge.links(pairs, f"links{step}")), f"all{step}")
-        labels = components(found, work, f"step{step}-")
+        links = work.save(links.unionByName(confirmed(pairs, sets, percent)), f"links{step}")
+        labels = components(links, work, f"step{step}-")
 
     of_class = classes.select("set_digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles", "set_digest").join(of_class, "set_digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = work.save(out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "out")
+    work.drop("signed", "classes", "members", "sets", "firsts", *(f"{x}{k}" for x in ("pairs", "links", "labels") for k in (1, 2, 3)))
     return out
 
 
-def work_pairs(work: Workspace, step: int, docs: DataFrame) -> DataFrame:
+def earlier(work: Workspace, step: int) -> DataFrame:
     """Pairs judged before this step."""
-    return docs.sparkSession.read.schema("a long, b long").parquet(*(f"{work.root}/pairs{k}" for k in range(1, step)))
-
-
-def _rare_buckets(many: DataFrame, judge: Judge, percent: int) -> DataFrame:
-    """Members of crowded buckets dealt anew: a bucket for each shingle that is among the rarest of a member."""
-    sets = judge.sets(many.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct(), "crowded")
-
-    def run(batches):
-        for batch in batches:
-            for i, x in zip(batch.column(0), batch.column(1), strict=True):
-                s = np.frombuffer(x.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(repeat(i.as_py(), len(s))), pa.int64()), pa.array(s, pa.int64())], ["rep", "shingle"])
-
-    spread = many.join(sets.mapInArrow(run, "rep long, shingle long"), "rep")
-    rarity = spread.groupBy("bucket", "shingle").agg(F.count("*").alias("holders"))
-    first = spread.join(rarity, ["bucket", "shingle"]).withColumn("place", F.row_number().over(W.partitionBy("bucket", "rep").orderBy("holders", "shingle")))
-    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("holders > 1")
-    return first.select(F.xxhash64("bucket", "shingle").alias("bucket"), "rep", "n", "component")
+    return work.spark.read.schema("a long, b long").parquet(*(f"{work.root}/pairs{k}" for k in range(1, step)))
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:

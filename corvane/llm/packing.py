@@ -19,7 +19,9 @@ kept by ``pack_documents``.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -34,7 +36,7 @@ from corvane.llm.work import Workspace, read
 
 PUNCTUATION = ".,;:!?"
 #: Bounds of a worker's memos, in entries.
-KEPT_CHUNKS, KEPT_CORES = 400_000, 1_000_000
+KEPT_CHUNKS, KEPT_CORES = 800_000, 1_000_000
 
 
 class WordTokenizer:
@@ -49,6 +51,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model, self.chunks, self.cores = Tokenizer.from_file(path), {}, {}
+        probe = ["the", "thoningreble", "a", "zzzz", "internationalisation"]
+        whole = [self.model.encode(x, add_special_tokens=False).ids for x in probe]
+        self.direct = array("I").itemsize == 4 and sys.byteorder == "little" and whole == [[t.id for t in self.model.model.tokenize(x)] for x in probe]
 
     def learn(self, chunks: list[str]) -> None:
         parts = {}
@@ -60,34 +65,36 @@ class WordTokenizer:
                 parts[chunk] = (chunk, "")
         if len(self.cores) > KEPT_CORES:
             self.cores.clear()
-        new = [x for x in {y for pair in parts.values() for y in pair} if x not in self.cores]
+        cores = self.cores
+        new = {y for pair in parts.values() for y in pair}.difference(cores)
+        if self.direct:  # plain lower-case words go to the model itself, which skips what would not change them
+            tokenize = self.model.model.tokenize
+            for x in [x for x in new if x.isascii() and x.isalpha() and x.islower()]:
+                cores[x] = array("I", [t.id for t in tokenize(x)]).tobytes()
+                new.discard(x)
         if new:
+            new = list(new)
             found = self.model.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
             edges = (4 * np.searchsorted(word, np.arange(len(new) + 1))).tolist()
             for k, x in enumerate(new):
-                self.cores[x] = ids[edges[k] : edges[k + 1]]
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
+                cores[x] = ids[edges[k] : edges[k + 1]]
         for chunk, (core, tail) in parts.items():
             self.chunks[chunk] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 4-byte ids of each text."""
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            while True:
-                try:
-                    out.append(b"".join(map(self.chunks.__getitem__, chunks)))
-                    break
-                except KeyError:
-                    known = self.chunks
-                    new = list({c for c in chunks if c not in known})
-                    if len(known) > KEPT_CHUNKS:  # cleared by learn: all are to be learnt
-                        new = list(set(chunks))
-                    self.learn(new)
-        return out
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        seen: set[str] = set()
+        for chunks in split:
+            seen.update(chunks)
+        new = seen.difference(self.chunks)
+        if len(self.chunks) + len(new) > KEPT_CHUNKS:
+            self.chunks.clear()
+            new = seen
+        self.learn(list(new))
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -22,6 +22,7 @@ are judged each; an empty table gives no rows; extra columns stay.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -35,6 +36,7 @@ from corvane.llm.work import Workspace, read, texts_of
 SHAPES = ("shouted", "exclaimed", "decorated", "divided", "repeated", "distinct", "punctuation", "digits", "long_words", "short")
 BEGINNINGS = (4, 5, 6, 7, 8)
 EDGE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
+NONE = (0.0, 0.0)  # weight and log count of a word that is no mark
 STRANGE = re.compile(rb"[%$&*#@^~=+<>{}\[\]\\]")
 
 
@@ -97,19 +99,19 @@ class Logistic:
 class Evidence:
     """The document classifier."""
 
-    def __init__(self, lexicon: dict[bytes, float], junk, toxic):
+    def __init__(self, lexicon: dict[bytes, tuple[float, float]], junk, toxic):
         self.lexicon, self.junk, self.toxic, self.memo = lexicon, junk, toxic, {}
 
-    def weight(self, word: bytes) -> float:
+    def weight(self, word: bytes) -> tuple[float, float]:
         if len(self.memo) > 300_000:
             self.memo.clear()
-        value = self.memo[word] = max((self.lexicon.get(m, 0.0) for m in marks_of(word)), default=0.0)
+        value = self.memo[word] = max((self.lexicon.get(m, NONE) for m in marks_of(word)), default=NONE)
         return value
 
     def lexical(self, text: bytes) -> list[float]:
         memo = self.memo.get
-        found = [w for w in (memo(x) if memo(x) is not None else self.weight(x) for x in word_set(text)) if w]
-        return [min(len(found), 4), min(sum(found), 20.0), max(found, default=0.0)]
+        found = [w for w in (memo(x) or self.weight(x) for x in word_set(text)) if w[0]]
+        return [min(len(found), 4), min(sum(w for w, _ in found), 20.0), max((w for w, _ in found), default=0.0), max((n for _, n in found), default=0.0)]
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """(junk, toxic) probabilities of each text; word-free ones get the models' word on nothing."""
@@ -151,24 +153,34 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     one = seen.groupBy("sketch", "toxic").agg(F.first("marks").alias("marks"))
     totals = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
-    found: dict[bytes, float] = {}
+    found, half = {}, {}
     if bad and good:
-        counts = one.select("toxic", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-        weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-        likely = counts.where(F.col("bad") >= max(5, bad // 100)).withColumn("weight", weight).where(F.col("weight") >= odds)
-        found = {bytes(r.mark): r.weight for r in likely.orderBy(F.desc("bad"), "mark").limit(lexicon).collect()}
-    evidence = Evidence(found, Share(0.0), Share(0.0))
+        # The whole sample's lexicon judges documents; that of every other sketch only tells the model what marks are worth
+        # on texts that did not make them.
+        side = (F.pmod("sketch", F.lit(2)) == 0).cast("int")
+        marks = one.select("toxic", side.alias("side"), F.explode("marks").alias("mark"))
+        counts = marks.groupBy("mark").agg(*(F.sum(x).alias(n) for n, x in (("bad", F.col("toxic")), ("good", 1 - F.col("toxic")), ("half_bad", F.col("toxic") * F.col("side")), ("half_good", (1 - F.col("toxic")) * F.col("side")))))
+
+        def listed(b: str, g: str, n_bad: float, n_good: float) -> dict[bytes, tuple[float, float]]:
+            weight = F.log((F.col(b) + 0.5) / (n_bad + 1)) - F.log((F.col(g) + 0.5) / (n_good + 1))
+            likely = counts.where(F.col(b) >= max(4, n_bad // 100)).withColumn("weight", weight).where(F.col("weight") >= odds)
+            return {bytes(r.mark): (r.weight, math.log(r.n)) for r in likely.select("mark", "weight", F.col(b).alias("n")).orderBy(F.desc("n"), "mark").limit(lexicon).collect()}
+
+        counts = work.save(counts.where("bad >= 4"), "marks")
+        found, half = listed("bad", "good", bad, good), listed("half_bad", "half_good", bad / 2, good / 2)
+    evidence, trial = Evidence(found, Share(0.0), Share(0.0)), Evidence(half, Share(0.0), Share(0.0))
 
     def reduce(batches):
         for batch in batches:
-            lexical = [evidence.lexical(t) for t in (x.as_py() for x in batch.column("words"))]
+            lexical = [trial.lexical(t) for t in (x.as_py() for x in batch.column("words"))]
             yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("toxic"), batch.column("sketch"), batch.column("shapes"), pa.array(lexical, pa.list_(pa.float64()))], ["quality", "toxic", "sketch", "shapes", "lexical"])
 
     rows = seen.mapInArrow(reduce, "quality int, toxic int, sketch long, shapes array<double>, lexical array<double>")
     rows = rows.groupBy("sketch", "quality", "toxic").agg(F.min("shapes").alias("shapes"), F.min("lexical").alias("lexical")).orderBy("sketch", "quality", "toxic").collect()  # at most `sample` rows
     if rows:
-        y = np.array([(1 - r.quality, r.toxic) for r in rows], float)
-        evidence = Evidence(found, model(np.array([r.shapes for r in rows]), y[:, 0]), model(np.array([r.lexical for r in rows]), y[:, 1]))
+        junk = model(np.array([r.shapes for r in rows]), np.array([1.0 - r.quality for r in rows]))
+        apart = [r for r in rows if r.sketch % 2] or rows
+        evidence = Evidence(found, junk, model(np.array([r.lexical for r in apart]), np.array([float(r.toxic) for r in apart])))
     evidence.memo.clear()
     return evidence
 

@@ -68,7 +68,7 @@ def test_crowded_buckets_of_unlike_texts_keep_their_links(spark):
     rows = [(i, " ".join(common + tail), "") for i, tail in enumerate(tails)]
     rows += [(100 + i, " ".join(common + tails[i][:12] + ["u%d" % i, "v%d" % i]), "") for i in range(0, 60, 7)]
     r.shuffle(rows)
-    got = result(near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=1, percent=85, cross=0))
+    got = result(near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=1, percent=85))
     assert got == brute(rows, 1, 85)
 
 
