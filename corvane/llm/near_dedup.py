@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.graph import components
+from corvane.llm.graph import components, relabelled
 from corvane.llm.work import Workspace, mix64, read, texts_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,11 +120,11 @@ def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """(x, y) of the pairs (a, b, x, y) whose full sets reach the threshold, as links (a, b)."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
+            a, b = batch.column("x"), batch.column("y")
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("x", "y", "set_a", "set_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -201,43 +201,42 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     members = work.save(slots.join(heads, "bucket").select("bucket", "rep", "n", "head"), "members")
     sets = work.save(set_table(docs, members.select(F.col("rep").alias("id")).distinct(), shingle=shingle, key=key, text=text), "sets")
     pairs = work.save(members.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("head.n").alias("m")).where("a < b").where(near).select("a", "b").distinct(), "pairs1")
-    links = work.save(confirmed(pairs, sets, percent), "links1")
+    links = work.save(confirmed(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links1")
     labels = components(links, work, "first-")
 
-    # 2. and 3. Only buckets that still hold several components.
+    # 2. and 3. Only buckets that still hold several components, whose merging is a graph of components.
+    members = members.select("bucket", "rep", "n")
     for step in (2, 3):
         labels = work.save(labels, f"labels{step}")
-        placed = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         per = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "n")).alias("pick"))
         apart = per.groupBy("bucket").agg(F.count("*").alias("n_components"), F.max(F.struct("size", "component", "pick")).alias("most")).where("n_components > 1")
-        placed = placed.join(apart, "bucket")
+        placed = work.save(placed.join(apart, "bucket").select("bucket", "rep", "n", "component", "most"), f"placed{step}")
+        if not placed.count():
+            break
         if step == 2:
-            tried = placed.where("component <> most.component").select("rep", "n", F.col("most.pick.rep").alias("other"), F.col("most.pick.n").alias("m"))
+            members = placed.select("bucket", "rep", "n")
+            tried = placed.where("component <> most.component").select("rep", "n", "component", F.col("most.pick.rep").alias("other"), F.col("most.pick.n").alias("m"), F.col("most.component").alias("other_component"))
         else:
             firsts = work.save(rarest(placed.select("rep", "n", "component").distinct(), sets, percent), "firsts")
             seconds = firsts.select("shingle", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"), F.col("place").alias("other_place"))
             early = (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) * (100 + percent)) >= percent * (F.col("n") + F.col("m"))
-            tried = firsts.join(seconds, "shingle").where((F.col("rep") < F.col("other")) & (F.col("component") != F.col("other_component")) & early).select("rep", "n", "other", "m")
-        pairs = tried.where(near).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        pairs = work.save(pairs.join(earlier(work, step), ["a", "b"], "left_anti"), f"pairs{step}")
-        if pairs.isEmpty():
-            continue
-        links = work.save(links.unionByName(confirmed(pairs, sets, percent)), f"links{step}")
-        labels = components(links, work, f"step{step}-")
+            tried = firsts.join(seconds, "shingle").where((F.col("rep") < F.col("other")) & (F.col("component") != F.col("other_component")) & early)
+        ends = [F.struct(F.col(x).alias("id"), F.col(y).alias("of")) for x, y in (("rep", "component"), ("other", "other_component"))]
+        ordered = tried.where(near).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q"))
+        pairs = work.save(ordered.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.of").alias("x"), F.col("q.of").alias("y")).distinct(), f"pairs{step}")
+        if pairs.count():
+            links = work.save(confirmed(pairs, sets, percent), f"links{step}")
+            labels = relabelled(labels, components(links, work, f"step{step}-"))
 
     of_class = classes.select("set_digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles", "set_digest").join(of_class, "set_digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = work.save(out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "out")
-    work.drop("signed", "classes", "members", "sets", "firsts", *(f"{x}{k}" for x in ("pairs", "links", "labels") for k in (1, 2, 3)))
+    work.drop("signed", "classes", "members", "sets", "firsts", *(f"{x}{k}" for x in ("pairs", "links", "labels", "placed") for k in (1, 2, 3)))
     return out
 
 
-def earlier(work: Workspace, step: int) -> DataFrame:
-    """Pairs judged before this step."""
-    return work.spark.read.schema("a long, b long").parquet(*(f"{work.root}/pairs{k}" for k in range(1, step)))
-
-
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without all but one document (the smallest id) of each group; columns stay."""
     gone = near_duplicates(docs, key=key, **options).where("NOT kept").select(F.col(key).alias("gone_key"))
