@@ -17,8 +17,8 @@ A full r-index of the corpus is not built: its backward search names one occurre
 its transform needs the corpus sorted as one string. See the README.
 
 Work per block of texts is numpy; between blocks travel sorted arrays of distinct hashes (see ``blocks``), so a passage
-in a third of all rows travels once per block. Gram hashes are only a filter; contexts are compared by 36 bits within
-equal grams, windows by 64 bits.
+in a third of all rows travels once per block. Gram hashes are only a filter; contexts and windows are compared by 64
+bits.
 
 Defined cases: a null or empty text has no bytes and loses none; texts shorter than ``span`` lose nothing; a null id
 counts as larger than all others; rows with the same id never remove each other's bytes; repeated rows under a larger
@@ -43,7 +43,7 @@ C1, C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class Anchors:
-    """The anchors of a block: document, gram position, first and last window start, part and key."""
+    """The anchors of a block: document, gram position, first and last window start, part, gram (32 bits) and key (context)."""
 
     def __init__(self, lengths: np.ndarray, data: np.ndarray, span: int, parts: int):
         n_docs, width = len(lengths), span - GRAM + 1
@@ -87,9 +87,9 @@ class Anchors:
                 context = (context ^ h[self.p + at]) * C2 + np.uint64(1)
                 context ^= context >> np.uint64(29)
                 at += GRAM
-            context = mix64((context ^ h[self.p + right - GRAM]) * C2)
+            self.key = mix64((context ^ h[self.p + right - GRAM]) * C2)
             self.part = ((gram >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            self.key = ((gram & np.uint64((1 << 28) - 1)) << np.uint64(36)) | (context >> np.uint64(28))
+            self.gram = gram.astype(np.uint32)
 
     def hashes(self, at: np.ndarray, length: int, kind: int) -> np.ndarray:
         """Of the strings of ``length`` bytes that start at ``at``."""
@@ -160,19 +160,19 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
         a, (names, rank) = Anchors(lengths, data, span, parts), ranks(ids)
         if len(a.p):
             one, _, _ = first_of(a.part, a.key, rank[a.doc])
-            yield _send(a.part[one], a.key[one], names[rank[a.doc[one]]], block, parts)
+            yield _send(a.part[one], a.key[one], names[rank[a.doc[one]]], block, parts, a.gram[one])
 
     def open_runs(rows):
         sizes = [len(r[2]) // 8 for r in rows]
         key = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
         ids = np.concatenate([decode_ids(r[3]) for r in rows])
+        gram = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
         source = np.repeat(np.arange(len(rows)), sizes)
-        order = np.lexsort((ids, key))
-        k, i = key[order], ids[order]
+        order = np.lexsort((ids, key, gram))
+        k, i, gram = key[order], ids[order], gram[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         least = i[new][np.cumsum(new) - 1]
-        gram = k >> np.uint64(36)
         new_gram = np.ones(len(k), bool)
         new_gram[1:] = gram[1:] != gram[:-1]
         of_gram = np.cumsum(new_gram) - 1
@@ -200,8 +200,7 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
             later_key.append(np.frombuffer(blob, np.uint64, n, 8))
             later_id.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n))
             contested.append(np.frombuffer(blob, np.uint64, offset=8 + 16 * n))
-        # Keys of different parts may be equal only where gram bits clash; the part is not sent back, so both are judged by
-        # the context, which differs unless the runs do match.
+        # Neither part nor gram is sent back: the context covers the gram.
         if later_key:
             k, g = np.concatenate(later_key), np.concatenate(later_id)
             order = np.argsort(k, kind="stable")
@@ -288,7 +287,7 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str)
             out[1].append(np.stack([spots, spots], axis=1).tobytes())
         yield out if out[0] else None
 
-    sent = map_blocks(blocks.rows(), runs, "part int, block long, keys binary, ids binary")
+    sent = map_blocks(blocks.rows(), runs, "part int, block long, keys binary, ids binary, grams binary")
     told = reduce_parts(sent, open_runs, "block long, blob binary")
     shape = "part int, block long, keys binary, ids binary, more binary"
     asked = blocks.save(map_blocks(blocks.with_info(told), contexts, shape), "asked")

@@ -68,3 +68,12 @@ def test_empty_table_and_kept_columns(spark):
 def test_query_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     assert result(op5_suffix_array_dedup(spark, "/root/testdata/sf0.001")) == brute([tuple(r) for r in rows])
+
+
+def test_contexts_that_agree_in_36_bits_only(spark):
+    # Found by search: around one gram of the heading, the hashes of these two contexts share their upper 36 bits.
+    head = "a common heading that very many documents of the corpus hold in one and the same form here "
+    rows = [(1, head + "kllbgvlqrabnpjlvysbowcqz"), (2, head + "ckihbgeeaidtrvnsgkoyuutm")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 2):
+        assert result(passages(df.repartition(parts))) == brute(rows)
