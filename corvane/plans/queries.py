@@ -533,6 +533,18 @@ def stream_upsert(spark, d):
     return target.read()
 
 
+def stream_upsert_whole(spark, d):
+    """The whole table through the upsert, over stale rows and rows of the target's own. ``stream_upsert`` streams the half its SQL names."""
+    base = scratch(spark, "upsert")
+    rows = t(spark, d, "documents")
+    target = state.Snapshot(spark, f"{base}/table", "doc_id long, lang string, n_chars long")
+    stale = rows.where("lang = 'en'").select("doc_id", F.lit("old").alias("lang"), F.lit(-1).cast("long").alias("n_chars"))
+    target.replace(stale.unionByName(literals(spark, [(-1, "own", -1), (-2, "own", -1)], "doc_id bigint, lang string, n_chars bigint")))
+    stream = streaming.collect(spark, f"{d}/documents.parque[t]", rows.schema).select("doc_id", "lang", "n_chars")
+    streaming.upsert_stream(stream, target, key="doc_id", order="n_chars", checkpoint=f"{base}/progress").awaitTermination()
+    return target.read()
+
+
 def stream_cost_window(spark, d):
     base = scratch(spark, "spend")
     rows = t(spark, d, "events")
@@ -555,6 +567,6 @@ QUERIES = {
         kmeans_assign_step, kmeans_update_step, kmeans_fit, kmeans_packed, kmeans_search, silhouette_exact, silhouette_sampled, classify_vote_all, classify_vote_subset, classify_vote_deepest,
         classify_vote_specific, sample_near_centroid, sample_at_mode, eval_summary, eval_gates, dedup_should_embed, dedup_mark, embed_batches_fixed, embed_batches_budget, embed_hashing,
         cost_per_event, cost_summary, cost_cap, cost_projection, usage_totals, ensure_cached, cas_update, detect_orphans, pipeline_run_log, glossary_find_save, description_find_save,
-        batch_poll, batch_results, sql_params, sql_in_list, sql_in_empty, stream_upsert, stream_cost_window,
+        batch_poll, batch_results, sql_params, sql_in_list, sql_in_empty, stream_upsert, stream_upsert_whole, stream_cost_window,
     )
 } | {f"eval_{n}": _metric(m) for n, m in (("precision", "precision"), ("hitrate", "hit_rate"), ("recall", "recall"), ("mrr", "mrr"), ("ndcg", "ndcg"))}

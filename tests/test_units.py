@@ -7,6 +7,7 @@ import pytest
 from corvane.functions import metrics, retry, text, vector
 from corvane.operators import classify as kc
 from corvane.operators import cluster, embed, hybrid, lexical, ranking, state
+from corvane.queries import QUERIES
 from corvane.sources import config, migrations, sql
 from pyspark.sql import functions as F
 
@@ -182,6 +183,12 @@ def test_sql(spark, tmp_path):
     assert sorted(map(tuple, snap.read().collect())) == [(1, "new"), (3, "n")]
 
 
+def test_upsert_of_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "n_chars").collect()]
+    assert sorted(map(tuple, QUERIES["stream_upsert_whole"](spark, sf).collect())) == sorted([*docs, (-1, "own", -1), (-2, "own", -1)])
+
+
 def test_migrations(spark, tmp_path):
     assert migrations.statements("CREATE x; -- a ; ' b\nINSERT 'a;b'; /* ; */ $$ x; y $$;") == ["CREATE x", "INSERT 'a;b'", "$$ x; y $$"]
     folder = tmp_path / "m"
