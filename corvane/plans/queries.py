@@ -152,6 +152,12 @@ def knn_topk(spark, d):
     return out.select("query_id", F.col("id").alias("vec_id"), "rank", r6("distance").alias("distance"))
 
 
+def knn_topk_rows(spark, d):
+    """Every row whose id is divisible by 50 against all rows. ``knn_topk`` asks for the label means its SQL names."""
+    out = ranking.knn_blocks(t(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, 5, path=scratch(spark, "knn"), key="vec_id")
+    return out.select("query_id", F.col("id").alias("vec_id"), "rank", r6("distance").alias("distance"))
+
+
 def rank_by_vector(spark, d):
     return ranking.rank_by_vector(t(spark, d, "embeddings"), query_vector(), key="vec_id", threshold=0.0, limit=20).select("vec_id", r6("similarity").alias("similarity"))
 
@@ -562,7 +568,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, bm25_corpus_stats, bm25_term_df, bm25_postings, bm25_score, bm25_batch_topk, bm25_normalized, query_expand, top_terms_by_lang, content_hash_dups, sanitize_text,
-        hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
+        hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, knn_topk_rows, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
         find_threshold, pairs_above_threshold, hybrid_score, hybrid_boosts, hybrid_explain_parts, hybrid_formula_text, rerank_boosts, fts_and_match, fts_websearch, fts_hybrid_rank,
         kmeans_assign_step, kmeans_update_step, kmeans_fit, kmeans_packed, kmeans_search, silhouette_exact, silhouette_sampled, classify_vote_all, classify_vote_subset, classify_vote_deepest,
         classify_vote_specific, sample_near_centroid, sample_at_mode, eval_summary, eval_gates, dedup_should_embed, dedup_mark, embed_batches_fixed, embed_batches_budget, embed_hashing,

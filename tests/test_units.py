@@ -74,6 +74,21 @@ def test_thresholds(spark):
     assert ranking.pairs_above(m, 0.7).count() == 3 and len(ranking.grouped_pairs(m, 0.85).collect()) == 1
 
 
+def test_neighbours_of_rows(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in QUERIES["knn_topk_rows"](spark, sf).collect()}
+    want = {(r.query_id, r["rank"]): (r.id, round(r.distance, 6)) for r in ranking.knn(asked, e, 5, key="vec_id").collect()}
+    assert len(want) == 5 * asked.count() > 0 and got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1], abs=2e-6) for x in want)
+    odd = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0]), (None, [1.0, 0.0]), (7, [-1.0, 0.0]), (8, [3.0, 0.0])]
+    df = spark.createDataFrame(odd, "id long, embedding array<double>")
+    for block in (1, 2, 100):
+        found = ranking.knn_blocks(df, F.col("id").isin(1, 4, 6), 4, path=f"file://{tmp_path}/{block}", block=block, query_block=1)
+        assert sorted((r.query_id, r["rank"], r.id, r.distance) for r in found.collect()) == [(1, 1, 1, 0), (1, 2, 2, 0), (1, 3, 8, 0), (1, 4, 3, 1), (6, 1, 6, 0)]
+
+
 def points():
     """Three clusters of 30, noise 0.1; the generator multiplies as floats and masks to 31 bits."""
     rows = []
