@@ -243,3 +243,21 @@ def silhouette(rows: DataFrame, *, order: str = "id", group: str = "cluster_id",
     most_ab = F.greatest("a", "b")
     value = F.when(F.col("b").isNull() | (most_ab == 0), 0.0).otherwise((F.col("b") - F.col("a")) / most_ab)
     return point.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
+
+
+def exact_silhouette(rows: DataFrame, *, group: str = "cluster_id", vector: str = "embedding") -> DataFrame:
+    """One row: ``silhouette`` of every point against every member. A mean of cosine distances to a cluster is one product
+    with the sum of its unit vectors, so the work is points times clusters; the sums travel as one row."""
+    slim = rows.select(F.col(group).alias("cluster"), normalize(F.col(vector)).alias("v"))
+    sizes = slim.where("v IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("n"))
+    parts = slim.select("cluster", F.posexplode("v").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x"))
+    sums = parts.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("s"))
+    listed = sums.join(sizes, "cluster").agg(F.collect_list(F.struct("cluster", "n", "s")).alias("all"))
+    own = F.get(F.filter("all", lambda c: c["cluster"] == F.col("cluster")), F.lit(0))
+    alone = F.coalesce(own["n"] <= 1, F.lit(True))
+    a = F.when(alone, 0.0).otherwise(1 - (dot(F.col("v"), own["s"]) - dot(F.col("v"), F.col("v"))) / F.greatest(own["n"] - 1, F.lit(1)))
+    b = F.array_min(F.transform(F.filter("all", lambda c: c["cluster"] != F.col("cluster")), lambda c: 1 - dot(F.col("v"), c["s"]) / c["n"]))
+    point = slim.crossJoin(F.broadcast(listed)).select(F.coalesce(a, F.lit(0.0)).alias("a"), b.alias("b"))
+    most_ab = F.greatest("a", "b")
+    value = F.when(F.col("b").isNull() | (most_ab == 0), 0.0).otherwise((F.col("b") - F.col("a")) / most_ab)
+    return point.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))

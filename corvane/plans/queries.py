@@ -303,7 +303,7 @@ def kmeans_search(spark, d):
 
 
 def silhouette_exact(spark, d):
-    return cluster.silhouette(t(spark, d, "embeddings"), order="vec_id", group="label").select(r6("silhouette").alias("silhouette"))
+    return cluster.exact_silhouette(t(spark, d, "embeddings"), group="label").select(r6("silhouette").alias("silhouette"))
 
 
 def silhouette_sampled(spark, d):

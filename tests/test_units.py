@@ -120,6 +120,21 @@ def test_kmeans(spark):
     assert cluster.silhouette(one_each).first().silhouette == 1 and cluster.silhouette(one_each.limit(1)).first().silhouette == 0
 
 
+def test_exact_silhouette(spark, tmp_path):
+    # Of 600 in one label, the 200 that the capped score compares with are not like the rest.
+    turn = lambda i, c: [math.cos(0.1 * (i % 3) ** 2 + c), math.sin(0.1 * (i % 3) ** 2 + c), 0.01 * (i % 7)]
+    rows = [(i, turn(i, 0.0), 0) for i in range(600)] + [(1000 + i, turn(i, 1.0), 1) for i in range(30)] + [(2000, turn(0, 2.0), 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = cluster.silhouette(df, order="vec_id", group="label", sample=10**6, most=10**6).first().silhouette
+    capped = cluster.silhouette(df, order="vec_id", group="label").first().silhouette
+    got = QUERIES["silhouette_exact"](spark, f"file://{tmp_path}").first().silhouette
+    assert got == round(whole, 6) != round(capped, 6)
+    odd = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 0.0], "a"), (3, [1.0, 1.0], "b"), (4, None, "b"), (5, [0.0, 1.0], None), (6, [0.0, 2.0], "b")], "id int, embedding array<double>, cluster_id string")
+    for x in (odd, odd.limit(0), odd.limit(1), odd.where("cluster_id = 'a'")):
+        assert cluster.exact_silhouette(x).first().silhouette == pytest.approx(cluster.silhouette(x).first().silhouette, abs=1e-12)
+
+
 def test_classify(spark):
     labeled = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate([([1.0, 0.0], ["a", "root"]), ([0.9, 0.1], ["a"]), ([0.0, 1.0], ["b", "root"])])], "ord int, embedding array<double>, cluster_ids array<string>")
     clusters = spark.createDataFrame([("a", [1.0, 0.0], 0.5), ("b", [0.0, 1.0], 0.01)], "cluster_id string, centroid array<double>, threshold double")
