@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components, relabelled
-from corvane.llm.work import Workspace, mix64, read, texts_of
+from corvane.llm.work import Workspace, mix64, partitions, read, texts_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 300_000  # of a worker's memo of word hashes
@@ -238,7 +238,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without all but one document (the smallest id) of each group; columns stay."""
+    """``docs`` without all but one document (the smallest id) of each group; columns stay.
+
+    Rows that repeat id and text are one; rows of one id and several texts are judged each, in order of their digests.
+    """
+    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head(1):
+        work = Workspace(docs.sparkSession, "numbered")
+        order = [key, "text_digest"]
+        single = docs.where(F.col(key).isNotNull()).withColumn("text_digest", F.sha2(F.col(options.get("text", "text")).cast("string"), 256)).dropDuplicates(order)
+        ordered = single.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+        numbered = work.save(ordered.withColumn("near_row", F.monotonically_increasing_id()), "numbered")
+        return drop_near_duplicates(numbered, key="near_row", **options).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
     gone = near_duplicates(docs, key=key, **options).where("NOT kept").select(F.col(key).alias("gone_key"))
     return docs.join(gone.hint("shuffle_hash"), F.col(key) == F.col("gone_key"), "left_anti")
 

@@ -329,21 +329,25 @@ def kept_bytes(text: bytes, runs: np.ndarray) -> bytes:
 
 
 def passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the remaining text).
+    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the remaining text) and
+    text_sha256 (of the whole text, where something is removed).
 
-    ``kept`` drops the stray bytes of characters that a removed run cuts; the digest is over the exact bytes.
+    ``kept`` drops the stray bytes of characters that a removed run cuts; the digests are over the exact bytes.
     """
     work = Workspace(docs.sparkSession, "passages")
     blocks, info = covered(docs, work, span=span, key=key, text=text)
-    schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, text_sha256 string" * with_text
 
     def judge(block, ids, lengths, data, blobs):
         at, found = np.concatenate([[0], np.cumsum(lengths)]), removed_runs(blobs, lengths, span)
-        out = [[] for _ in range(5 + with_text)]
+        out = [[] for _ in range(5 + 2 * with_text)]
         for i, doc in enumerate(ids.tolist()):
-            kept = kept_bytes(data[at[i] : at[i + 1]].tobytes(), found[i])
-            row = (None if doc == LAST else doc, int(lengths[i]), int(lengths[i]) - len(kept), len(found[i]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))
-            for column, value in zip(out, row, strict=False):
+            whole = data[at[i] : at[i + 1]].tobytes()
+            kept = kept_bytes(whole, found[i])
+            row = (None if doc == LAST else doc, int(lengths[i]), int(lengths[i]) - len(kept), len(found[i]), hashlib.sha256(kept).hexdigest())
+            if with_text:
+                row += (kept.decode("utf-8", "ignore"), hashlib.sha256(whole).hexdigest() if len(found[i]) else None)
+            for column, value in zip(out, row, strict=True):
                 column.append(value)
         yield out
 
@@ -355,13 +359,13 @@ def passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str
 
 def dedup_passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without the passages that a smaller id holds; those of which nothing is left go. Other columns stay."""
-    judged = passages(docs, span=span, key=key, text=text, with_text=True).where("n_removed > 0").select(F.col(key).alias("judged_key"), "n_bytes", "kept")
-    # By id and size; rows that share both share their fate only if their texts are equal, so ids should be unique.
-    judged = judged.dropDuplicates(["judged_key", "n_bytes"])
-    size = F.octet_length(F.col(text)).cast("long")
-    joined = docs.join(judged.hint("shuffle_hash"), (F.col(key) == F.col("judged_key")) & (size == F.col("n_bytes")), "left")
-    cut = F.when(F.col("judged_key").isNull(), F.col(text)).otherwise(F.col("kept"))
-    return joined.where("judged_key IS NULL OR trim(kept) <> ''").select(*(cut.alias(c) if c == text else docs[c] for c in docs.columns))
+    judged = passages(docs, span=span, key=key, text=text, with_text=True).where("n_removed > 0").select(F.col(key).alias("judged_key"), "text_sha256", "kept")
+    # By id and text: rows that share both share their fate.
+    judged = judged.dropDuplicates(["judged_key", "text_sha256"])
+    same = F.col(key).cast("long").eqNullSafe(F.col("judged_key")) & (F.sha2(F.col(text).cast("string"), 256) == F.col("text_sha256"))
+    joined = docs.join(judged.hint("shuffle_hash"), same, "left")
+    cut = F.when(F.col("text_sha256").isNull(), F.col(text)).otherwise(F.col("kept"))
+    return joined.where("text_sha256 IS NULL OR trim(kept) <> ''").select(*(cut.alias(c) if c == text else docs[c] for c in docs.columns))
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -79,6 +79,13 @@ def test_empty_table_and_kept_columns(spark):
     assert sorted(map(tuple, drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == [(1, "a b c d e f g", "one"), (3, None, "three")]
 
 
+def test_repeated_and_null_ids(spark):
+    x, y, z = ("".join(" %s%d" % (c, k) for k in range(20)) for c in "xyz")
+    rows = [(5, x, "a"), (5, x, "a"), (5, y, "b"), (3, x, "c"), (7, z, "d"), (7, z, "d"), (8, z, "e"), (9, None, "f"), (9, None, "f"), (None, x, "g"), (None, x, "g")]
+    out = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(5, y, "b"), (3, x, "c"), (7, z, "d"), (9, None, "f"), (None, x, "g"), (None, x, "g")], key=repr)
+
+
 def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     assert result(op4_minhash_near_dedup(spark, "/root/testdata/sf0.01")) == brute(rows, 3, 85)

@@ -65,6 +65,13 @@ def test_empty_table_and_kept_columns(spark):
     assert out[2] == ("intro é end", "y") or out[2][0].startswith("intro é") and "seven" not in out[2][0]
 
 
+def test_null_and_repeated_ids_keep_their_own_texts(spark):
+    held = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, held, "x"), (4, "aaaa " + held, "p"), (4, "bbbb " + held, "q"), (4, held.upper() + " ....", "r"), (None, "null " + held, "n"), (None, "none left", "n")]
+    out = dedup_passages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((r.block, r.text.strip()) for r in out) == [("n", "none left"), ("n", "null"), ("p", "aaaa"), ("q", "bbbb"), ("r", held.upper() + " ...."), ("x", held)]
+
+
 def test_query_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     assert result(op5_suffix_array_dedup(spark, "/root/testdata/sf0.001")) == brute([tuple(r) for r in rows])
