@@ -3,7 +3,10 @@
 ``pack`` writes the texts as blocks of a few MB, one row each, in a table bucketed by block. Operators scan it as
 often as they need; what comes back for a block (small arrays) is joined to it without moving the texts again.
 Arrays that travel are split by hash into one blob per block and hash part, sorted and free of repeats, so a value
-that fills a third of the corpus travels once per block.
+that fills a third of the corpus travels once per block. Other columns may ride along with their rows, as Arrow data,
+so what is decided about a text meets its own row without a join.
+
+A text is never split: a block holds one text at least, however long it is, and is held in memory as a whole.
 """
 
 from __future__ import annotations
@@ -23,33 +26,45 @@ LAST = 2**63 - 1  # stands for a null id, after all others
 
 
 class Blocks:
-    def __init__(self, docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", carry: list[str] = (), block_bytes: int = BLOCK_BYTES):
+        """``carry``: columns whose rows go along with their texts (see ``carried``)."""
         self.spark, self.work, self.parts = docs.sparkSession, work, partitions(docs.sparkSession)
         self.table = f"corvane_{uuid.uuid4().hex}"
+        schema = "block long, ids binary, lengths binary, data binary" + ", others binary" * bool(carry)
+        names = [x.split()[0] for x in schema.split(", ")]
 
         def run(batches):
-            number, ids, lengths, pieces, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+            number, ids, lengths, pieces, size, others = TaskContext.get().partitionId() << 32, [], [], [], 0, []
 
             def row():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(lengths, np.int64).tobytes()], pa.binary()), pa.array([b"".join(pieces)], pa.binary())], ["block", "ids", "lengths", "data"]
-                )
+                values = [np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), b"".join(pieces)]
+                if carry:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, others[0].schema) as out:
+                        out.write_table(pa.Table.from_batches(others))
+                    values.append(sink.getvalue().to_pybytes())
+                return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names)
 
             for batch in batches:
                 data, offsets = text_bytes(batch.column(1))
+                rest, start = batch.select(batch.schema.names[2:]), 0
                 for i, doc in enumerate(batch.column(0).to_pylist()):
                     piece = data[offsets[i] : offsets[i + 1]].tobytes()
                     if ids and size + len(piece) > block_bytes:
+                        if carry and i > start:
+                            others.append(rest.slice(start, i - start))
                         yield row()
-                        number, ids, lengths, pieces, size = number + 1, [], [], [], 0
+                        number, ids, lengths, pieces, size, others, start = number + 1, [], [], [], 0, [], i
                     ids.append(LAST if doc is None else doc)
                     lengths.append(len(piece))
                     pieces.append(piece)
                     size += len(piece)
+                if carry and batch.num_rows > start:
+                    others.append(rest.slice(start))
             if ids:
                 yield row()
 
-        packed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "block long, ids binary, lengths binary, data binary")
+        packed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in carry)).mapInArrow(run, schema)
         with arrow_rows(self.spark):
             packed.write.format("parquet").option("path", f"{work.root}/blocks").option("compression", "zstd").bucketBy(self.parts, "block").saveAsTable(self.table)
 
@@ -69,8 +84,14 @@ class Blocks:
         self.work.drop("blocks")
 
 
-def map_blocks(df: DataFrame, f, schema: str) -> DataFrame:
-    """f(block, ids, lengths, data, blobs) yields rows as tuples; one block is in memory at a time."""
+def carried(others: bytes) -> pa.Table:
+    """The rows that went along with a block's texts, in their order."""
+    return pa.ipc.open_stream(others).read_all()
+
+
+def map_blocks(df: DataFrame, f, schema: str, others: bool = False) -> DataFrame:
+    """f(block, ids, lengths, data, blobs[, others]) yields column lists, or batches as they are to be; one block is in
+    memory at a time."""
     has_blobs = "blobs" in df.columns
 
     def run(batches):
@@ -79,12 +100,13 @@ def map_blocks(df: DataFrame, f, schema: str) -> DataFrame:
                 one = batch.slice(i, 1)
                 values = {c: one.column(c)[0] for c in one.schema.names}
                 blobs = [x.as_py() for x in values["blobs"].values] if has_blobs and values["blobs"].is_valid else []
-                rows = f(values["block"].as_py(), np.frombuffer(values["ids"].as_buffer(), np.int64), np.frombuffer(values["lengths"].as_buffer(), np.int64), np.frombuffer(values["data"].as_buffer(), np.uint8), blobs)
+                rows = f(values["block"].as_py(), np.frombuffer(values["ids"].as_buffer(), np.int64), np.frombuffer(values["lengths"].as_buffer(), np.int64), np.frombuffer(values["data"].as_buffer(), np.uint8), blobs, *([values["others"].as_buffer()] if others else []))
                 for out in rows:
-                    if out:
-                        yield to_batch(out, arrow_schema)
+                    if out is not None and len(out):
+                        yield out if isinstance(out, pa.RecordBatch) else to_batch(out, arrow_schema)
 
-    arrow_schema = arrow_of(schema)
+    arrow_schema = None if others else arrow_of(schema)
+    df = df if others else df.drop("others")
     return df.mapInArrow(run, schema)
 
 

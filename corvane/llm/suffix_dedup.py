@@ -30,11 +30,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import LAST, Blocks, map_blocks, reduce_parts, split
-from corvane.llm.work import Workspace, mix64, read
+from corvane.llm.blocks import LAST, Blocks, carried, map_blocks, reduce_parts, split
+from corvane.llm.work import Shield, Workspace, mix64, read
 
 GRAM, GAP, GROUP = 16, 64, 9
 TABLE = np.random.default_rng(50_016).integers(0, 2**63, 257, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,9 +152,9 @@ def _send(part, key, ids, block, parts, *more):
     return rows if rows[0] else None
 
 
-def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str) -> tuple[Blocks, DataFrame]:
+def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str, carry: list[str] = ()) -> tuple[Blocks, DataFrame]:
     """The blocks of the texts and, for each, blobs of covered windows: pairs (first start, last start) as 4-byte numbers."""
-    blocks = Blocks(docs, work, key=key, text=text)
+    blocks = Blocks(docs, work, key=key, text=text, carry=carry)
     parts = blocks.parts
 
     def runs(block, ids, lengths, data, _):
@@ -328,44 +329,58 @@ def kept_bytes(text: bytes, runs: np.ndarray) -> bytes:
     return b"".join(out) + text[at:]
 
 
-def passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the remaining text) and
-    text_sha256 (of the whole text, where something is removed).
-
-    ``kept`` drops the stray bytes of characters that a removed run cuts; the digests are over the exact bytes.
-    """
+def passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, n_bytes, n_removed, n_spans and kept_sha256 (of the exact remaining bytes)."""
     work = Workspace(docs.sparkSession, "passages")
-    blocks, info = covered(docs, work, span=span, key=key, text=text)
-    schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, text_sha256 string" * with_text
+    shield = Shield(docs)
+    blocks, info = covered(shield.df, work, span=span, key=shield[key], text=shield[text])
 
     def judge(block, ids, lengths, data, blobs):
         at, found = np.concatenate([[0], np.cumsum(lengths)]), removed_runs(blobs, lengths, span)
-        out = [[] for _ in range(5 + 2 * with_text)]
+        out = [[] for _ in range(5)]
         for i, doc in enumerate(ids.tolist()):
-            whole = data[at[i] : at[i + 1]].tobytes()
-            kept = kept_bytes(whole, found[i])
+            kept = kept_bytes(data[at[i] : at[i + 1]].tobytes(), found[i])
             row = (None if doc == LAST else doc, int(lengths[i]), int(lengths[i]) - len(kept), len(found[i]), hashlib.sha256(kept).hexdigest())
-            if with_text:
-                row += (kept.decode("utf-8", "ignore"), hashlib.sha256(whole).hexdigest() if len(found[i]) else None)
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         yield out
 
-    result = blocks.save(map_blocks(blocks.with_info(info), judge, schema), "judged")
+    result = blocks.save(map_blocks(blocks.with_info(info), judge, f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "judged")
     blocks.drop()
     work.drop("asked", "looked")
     return result
 
 
 def dedup_passages(docs: DataFrame, *, span: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without the passages that a smaller id holds; those of which nothing is left go. Other columns stay."""
-    judged = passages(docs, span=span, key=key, text=text, with_text=True).where("n_removed > 0").select(F.col(key).alias("judged_key"), "text_sha256", "kept")
-    # By id and text: rows that share both share their fate.
-    judged = judged.dropDuplicates(["judged_key", "text_sha256"])
-    same = F.col(key).cast("long").eqNullSafe(F.col("judged_key")) & (F.sha2(F.col(text).cast("string"), 256) == F.col("text_sha256"))
-    joined = docs.join(judged.hint("shuffle_hash"), same, "left")
-    cut = F.when(F.col("text_sha256").isNull(), F.col(text)).otherwise(F.col("kept"))
-    return joined.where("text_sha256 IS NULL OR trim(kept) <> ''").select(*(cut.alias(c) if c == text else docs[c] for c in docs.columns))
+    """Documents without the passages that a smaller id holds; those of which nothing is left go. Other columns stay.
+
+    Every row, whatever its id, has the decisions on its own text: rows travel with their texts. Where a removed run
+    cuts a character, its stray bytes go too. A null text stays null.
+    """
+    work = Workspace(docs.sparkSession, "passages")
+    shield = Shield(docs)
+    inner = shield[text]
+    own = shield.df.withColumns({"corvane_key": F.col(shield[key]).cast("long"), "corvane_text": F.col(inner).cast("string")})
+    null = F.col(inner).isNull().alias("corvane_null")
+    carry = [c for c in shield.inner if c != inner]
+    blocks, info = covered(own.select("corvane_key", "corvane_text", *carry, null), work, span=span, key="corvane_key", text="corvane_text", carry=[*carry, "corvane_null"])
+    kinds = dict(own.dtypes)
+
+    def judge(block, ids, lengths, data, blobs, others):
+        at, found, rows = np.concatenate([[0], np.cumsum(lengths)]), removed_runs(blobs, lengths, span), carried(others).combine_chunks()
+        texts, stays = [], []
+        for i, null in enumerate(rows.column("corvane_null").to_pylist()):
+            kept = kept_bytes(data[at[i] : at[i + 1]].tobytes(), found[i]).decode("utf-8", "ignore" if len(found[i]) else "strict")
+            texts.append(None if null else kept)
+            stays.append(not len(found[i]) or bool(kept.strip()))
+        rows = rows.drop_columns(["corvane_null"]).append_column(inner, pa.array(texts, pa.string())).filter(pa.array(stays, pa.bool_()))
+        yield from rows.to_batches()
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " * bool(carry) + f"`{inner}` string"
+    result = blocks.save(map_blocks(blocks.with_info(info), judge, schema, others=True), "judged")
+    blocks.drop()
+    work.drop("asked", "looked")
+    return shield.back(result)
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

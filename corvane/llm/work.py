@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once. Whole texts of any length go in, so the number is small.
@@ -19,15 +19,32 @@ class Workspace:
     """A folder of intermediate tables under ``spark.checkpoint.dir``.
 
     Every table is written once and read again, so a lost executor costs at most the stage that runs. Only where
-    the setting is absent (tests) a folder of this machine is used.
+    the setting is absent and everything runs on this machine (tests) a folder of this machine is used.
     """
 
+    _open: list[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="corvane-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+        for spaces in self._open:
+            spaces.append(self)
+
+    @classmethod
+    @contextmanager
+    def temporary(cls):
+        """Workspaces made within are deleted at the end; what is to last is saved in one made before."""
+        cls._open.append([])
+        try:
+            yield
+        finally:
+            for space in cls._open.pop():
+                space.drop("")
 
     def save(self, df: DataFrame, name: str, rows: int = ARROW_ROWS) -> DataFrame:
         with arrow_rows(self.spark, rows):
@@ -41,6 +58,26 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shield:
+    """A table under column names of its own, so that no column of the caller's can be in the way of an operator's.
+
+    ``shield[c]`` is the inner name of column ``c`` (names as Spark resolves them: without regard to case), and
+    ``back`` gives the caller's columns their names again.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.inner = [f"corvane_column_{i}" for i in range(len(self.names))]
+        self.df = df.toDF(*self.inner)
+
+    def __getitem__(self, name: str) -> str:
+        exact = [i for i, c in enumerate(self.names) if c == name] or [i for i, c in enumerate(self.names) if c.lower() == name.lower()]
+        return self.inner[exact[0]]
+
+    def back(self, df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(*(F.col(c).alias(n) for c, n in zip(self.inner, self.names, strict=True)), *more)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
