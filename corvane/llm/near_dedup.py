@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components, relabelled
-from corvane.llm.work import Workspace, mix64, partitions, read, texts_of
+from corvane.llm.work import Shield, Workspace, mix64, partitions, read, texts_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 300_000  # of a worker's memo of word hashes
@@ -107,6 +107,15 @@ def signatures(docs: DataFrame, *, shingle: int, perms: int, rows: int, key: str
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, set_digest binary, bands array<long>")
 
 
+#: Ids of 8 bytes that may go to every executor; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (one narrow column), to be broadcast where their counted number allows it."""
+    return ids.hint("broadcast" if ids.count() <= FEW else "shuffle_hash")
+
+
 def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text: str) -> DataFrame:
     """id and set (sorted 8-byte hashes) of the documents of ``ids``."""
 
@@ -116,7 +125,7 @@ def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle, hashes).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["id", "set"])
 
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return slim.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, set binary")
+    return slim.join(small(ids), "id", "left_semi").mapInArrow(run, "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +208,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     # 1. Buckets of two or more, with their smallest class. Sets are made once, for their members alone.
     heads = slots.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("head")).where("members > 1")
     members = work.save(slots.join(heads, "bucket").select("bucket", "rep", "n", "head"), "members")
-    sets = work.save(set_table(docs, members.select(F.col("rep").alias("id")).distinct(), shingle=shingle, key=key, text=text), "sets")
+    ids = work.save(members.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = work.save(set_table(docs, ids, shingle=shingle, key=key, text=text), "sets")
     pairs = work.save(members.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("head.n").alias("m")).where("a < b").where(near).select("a", "b").distinct(), "pairs1")
     links = work.save(confirmed(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links1")
     labels = components(links, work, "first-")
@@ -233,24 +243,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     out = signed.select("id", "n_shingles", "set_digest").join(of_class, "set_digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = work.save(out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "out")
-    work.drop("signed", "classes", "members", "sets", "firsts", *(f"{x}{k}" for x in ("pairs", "links", "labels", "placed") for k in (1, 2, 3)))
+    work.drop("signed", "classes", "members", "ids", "sets", "firsts", *(f"{x}{k}" for x in ("pairs", "links", "labels", "placed") for k in (1, 2, 3)))
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without all but one document (the smallest id) of each group; columns stay.
 
-    Rows that repeat id and text are one; rows of one id and several texts are judged each, in order of their digests.
+    Rows that repeat id and text are one; rows of one id and several texts are judged each, in order of their digests;
+    rows with a null id stay.
     """
-    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head(1):
+    shield = Shield(docs)
+    own, key, text = shield.df, shield[key], shield[text]
+    if own.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").head(1):
         work = Workspace(docs.sparkSession, "numbered")
-        order = [key, "text_digest"]
-        single = docs.where(F.col(key).isNotNull()).withColumn("text_digest", F.sha2(F.col(options.get("text", "text")).cast("string"), 256)).dropDuplicates(order)
+        order = [key, "corvane_digest"]
+        single = own.where(F.col(key).isNotNull()).withColumn("corvane_digest", F.sha2(F.col(text).cast("string"), 256)).dropDuplicates(order)
         ordered = single.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-        numbered = work.save(ordered.withColumn("near_row", F.monotonically_increasing_id()), "numbered")
-        return drop_near_duplicates(numbered, key="near_row", **options).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
-    gone = near_duplicates(docs, key=key, **options).where("NOT kept").select(F.col(key).alias("gone_key"))
-    return docs.join(gone.hint("shuffle_hash"), F.col(key) == F.col("gone_key"), "left_anti")
+        numbered = work.save(ordered.withColumn("corvane_row", F.monotonically_increasing_id()), "numbered")
+        kept = _without_copies(numbered, key="corvane_row", text=text, **options).select(*shield.inner).unionByName(own.where(F.col(key).isNull()))
+    else:
+        kept = _without_copies(own, key=key, text=text, **options)
+    return shield.back(kept)
+
+
+def _without_copies(docs: DataFrame, *, key: str, **options) -> DataFrame:
+    gone = near_duplicates(docs, key=key, **options).where("NOT kept").select(F.col(key).alias("corvane_gone"))
+    return docs.join(small(gone), F.col(key) == F.col("corvane_gone"), "left_anti")
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
