@@ -3,17 +3,19 @@
 1. Documents are tokenised in place; one longer than ``limit`` is cut. Every piece knows its task and its number among
    that task's pieces of equal length, so its rank among all pieces of a length follows from one count per (task,
    length); no piece is sorted.
-2. The histogram of lengths (at most ``limit`` numbers) goes to the driver. Patterns of up to three documents that fill
-   a sequence exactly are enumerated; non-negative least squares fits repeat counts to the histogram; counts are
+2. The histogram of lengths (at most ``limit`` numbers) goes to the driver. All patterns of up to three documents that
+   fill a sequence exactly are enumerated; non-negative least squares fits repeat counts to the histogram; counts are
    rounded within what is there.
 3. The residual histogram is packed by best fit in decreasing order, counts at a time: full patterns again, of any
-   number of documents. If best fit alone needs fewer sequences, its patterns are taken instead.
-4. The pattern list, whose size depends on ``limit`` and not on the data, is broadcast; rank and length of a piece give
-   its sequence and offset.
-
-Defined cases: a null or empty text is one piece, the end token alone; equal pieces take places in any order among
-them; repeated rows are packed each; an empty table gives no rows; extra columns are ignored by ``pack_pieces`` and
-kept by ``pack_documents``.
+   number of documents.
+4. The list of patterns in use is broadcast; rank and length of a piece give its sequence and offset. Its rows are
+   bounded by ``limit`` (at most limit^2 / 12 patterns of three, 40 bytes a row: 42 MB for 2048), whatever the data. The
+   counts per (task, length) are a table, joined by Spark's choice: broadcast under its size limit, else by a shuffle of
+   the narrow pieces.
+
+Defined cases: a null or empty text is one piece, the end token alone; a very long text is cut into pieces; equal pieces
+take places in any order among them; repeated rows and null ids are packed each; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from corvane.llm.work import Workspace, read
 
 PUNCTUATION = ".,;:!?"
-#: Bounds of a worker's memos, in entries.
-KEPT_CHUNKS, KEPT_CORES = 800_000, 1_000_000
+#: Entries of a worker's memos: chunks of text, and a quarter more of their cores. About 500 bytes each, all told.
+KEPT = 800_000
 
 
 class WordTokenizer:
@@ -46,11 +48,11 @@ class WordTokenizer:
     letters and a tail of punctuation is two pre-tokens in any case, so both are looked up on their own, in lower case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.chunks, self.cores = Tokenizer.from_file(path), {}, {}
+        self.model, self.chunks, self.cores, self.kept = Tokenizer.from_file(path), {}, {}, kept
         probe = ["the", "thoningreble", "a", "zzzz", "internationalisation"]
         whole = [self.model.encode(x, add_special_tokens=False).ids for x in probe]
         self.direct = array("I").itemsize == 4 and sys.byteorder == "little" and whole == [[t.id for t in self.model.model.tokenize(x)] for x in probe]
@@ -63,7 +65,7 @@ class WordTokenizer:
                 parts[chunk] = (core.lower(), chunk[len(core) :])
             else:
                 parts[chunk] = (chunk, "")
-        if len(self.cores) > KEPT_CORES:
+        if len(self.cores) > self.kept * 5 // 4:
             self.cores.clear()
         cores = self.cores
         new = {y for pair in parts.values() for y in pair}.difference(cores)
@@ -80,7 +82,7 @@ class WordTokenizer:
             for k, x in enumerate(new):
                 cores[x] = ids[edges[k] : edges[k + 1]]
         for chunk, (core, tail) in parts.items():
-            self.chunks[chunk] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+            self.chunks[chunk] = cores[core] + cores[tail] if tail else cores[core]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 4-byte ids of each text."""
@@ -89,7 +91,7 @@ class WordTokenizer:
         for chunks in split:
             seen.update(chunks)
         new = seen.difference(self.chunks)
-        if len(self.chunks) + len(new) > KEPT_CHUNKS:
+        if len(self.chunks) + len(new) > self.kept:
             self.chunks.clear()
             new = seen
         self.learn(list(new))
@@ -97,24 +99,24 @@ class WordTokenizer:
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, kept: int) -> WordTokenizer:
     """One a worker process, so its memos serve all its tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, kept) not in _tokenizers:
+        _tokenizers[path, kept] = WordTokenizer(path, kept)
+    return _tokenizers[path, kept]
 
 
-def cut_pieces(docs: DataFrame, path: str, *, limit: int, key: str, text: str, end: int = 0, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, *, limit: int, key: str, text: str, end: int = 0, keep_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """Pieces with their ids' checksum (and, if asked, the ids), the task that cut them and their number there among equals."""
     schema = "doc long, piece int, start long, length long, ids_crc32 long, task long, number long" + ", ids array<int>" * keep_ids
 
     def run(batches):
         import public_tokenizers
 
-        words, task, seen = tokenizer(public_tokenizers.path(path) if os.sep not in path else path), TaskContext.get().partitionId(), {}
+        words, task, seen = tokenizer(public_tokenizers.path(path) if os.sep not in path else path, kept), TaskContext.get().partitionId(), {}
         tail = int(end).to_bytes(4, "little")
         for batch in batches:
             out = [[] for _ in range(7 + keep_ids)]
@@ -137,25 +139,19 @@ def cut_pieces(docs: DataFrame, path: str, *, limit: int, key: str, text: str, e
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def full_patterns(present: np.ndarray, limit: int, most: int = 60_000) -> np.ndarray:
-    """Lengths (a >= b >= c, 0: none) of up to three documents that fill a sequence; where that would be more than
-    ``most``, the middle lengths are thinned evenly."""
+def full_patterns(present: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths (a >= b >= c, 0: none) of up to three documents that fill a sequence: all of them, at most limit^2 / 12."""
     have = np.zeros(limit + 1, bool)
     have[present] = True
     have[0] = True
     have[limit] = False
-    middles = present[present <= limit // 2]
-    found, step = [], max(1, len(middles) * len(present) // (2 * most))
-    for b in np.unique(np.concatenate([middles[::step], middles[-1:]])) if len(middles) else []:
+    found = [np.zeros((0, 3), np.int64)]
+    for b in present[present <= limit // 2]:
         a = present[(present >= b) & (present <= limit - b)]
         c = limit - a - b
-        ok = (c <= b) & have[np.maximum(c, 0)]
+        ok = (c <= b) & have[c]
         found.append(np.stack([a[ok], np.full(ok.sum(), b), c[ok]], axis=1))
-    # Pairs, whatever the thinning.
-    pairs = present[(present * 2 >= limit) & (present < limit)]
-    pairs = pairs[have[limit - pairs]]
-    found.append(np.stack([pairs, limit - pairs, np.zeros_like(pairs)], axis=1))
-    return np.unique(np.concatenate(found), axis=0)
+    return np.concatenate(found)
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -244,9 +240,7 @@ def plan(counts: np.ndarray, limit: int) -> list[tuple[int, tuple]]:
         if n:
             left[lengths] -= n * times
             out.append((n, tuple(zip(lengths.tolist(), times.tolist(), strict=True))))
-    out += best_fit(left, limit)
-    alone = best_fit(counts, limit)
-    return min(out, alone, key=lambda x: sum(n for n, _ in x))
+    return out + best_fit(left, limit)
 
 
 def places(patterns: list[tuple[int, tuple]], limit: int) -> np.ndarray:
@@ -263,11 +257,12 @@ def places(patterns: list[tuple[int, tuple]], limit: int) -> np.ndarray:
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
-def pack_pieces(docs: DataFrame, path: str, *, limit: int = 2048, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+def pack_pieces(docs: DataFrame, path: str, *, limit: int = 2048, key: str = "doc_id", text: str = "text", keep_ids: bool = False, kept: int = KEPT) -> DataFrame:
+    """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids). ``kept``: entries of a worker's
+    memos, which cost memory and save time and change nothing else."""
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    pieces = work.save(cut_pieces(docs, path, limit=limit, key=key, text=text, keep_ids=keep_ids), "pieces")
+    pieces = work.save(cut_pieces(docs, path, limit=limit, key=key, text=text, keep_ids=keep_ids, kept=kept), "pieces")
     counts = work.save(pieces.groupBy("task", "length").agg((F.max("number") + 1).alias("n")), "counts")
     histogram = np.zeros(limit + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `limit` rows
