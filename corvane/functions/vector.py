@@ -77,3 +77,9 @@ def serialize(v: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def deserialize(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(bytes(x), "<f4").astype(np.float64))
+
+
+def of_dims(vector: Column, dims: int) -> Column:
+    """The vector, which has to have ``dims`` components (a null stays null)."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {dims} dimensions, not "), F.size(vector).cast("string")))
+    return F.when(vector.isNull() | (F.size(vector) == dims), vector).otherwise(wrong)

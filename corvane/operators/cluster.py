@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.vector import dot, normalize
+from corvane.operators.numbering import numbered
 
 MASK = 2**64 - 1
 
@@ -38,6 +39,7 @@ def mix_seed(master: int, k: int, run: int) -> int:
     return (x ^ (x >> 32)) & 0xFFFFFFFF
 
 
+# Seeds, shifts and multipliers of the generator below and the mixers above.
 class Rng:
     """Four 32-bit words of state; the seeds of the last three are products of floats, low bits lost."""
 
@@ -72,22 +74,27 @@ class Clusters:
     silhouette: float = 0.0
 
 
-def nearest(vector: Column, centroids: list[np.ndarray]) -> Column:
-    """struct(distance, cluster_id) of the nearest centroid; ties: the lowest number. ``vector`` is of unit length."""
-    values = [F.struct((1 - dot(vector, F.array(*(F.lit(float(x)) for x in c)))).alias("distance"), F.lit(i).alias("cluster_id")) for i, c in enumerate(centroids)]
-    return F.array_min(F.array(*values))
+def listed(spark, centroids) -> DataFrame:
+    """Centroids as one row (``corvane_all``: array of struct(c, cluster_id)), to be sent to every task as a table; they are no
+    part of the plan."""
+    rows = [([([float(x) for x in c], i) for i, c in enumerate(centroids)],)]
+    return spark.createDataFrame(rows, "corvane_all array<struct<c: array<double>, cluster_id: int>>")
 
 
-def assign(rows: DataFrame, centroids: list, *, key: str = "id", vector: str = "embedding") -> DataFrame:
-    return rows.select(key, nearest(normalize(F.col(vector)), centroids).alias("x")).select(key, "x.cluster_id", "x.distance")
+def nearest(vector: Column, centroids: Column) -> Column:
+    """struct(distance, cluster_id) of the nearest of ``listed`` centroids; ties: the lowest number. ``vector`` is of unit length."""
+    return F.array_min(F.transform(centroids, lambda x: F.struct((1 - dot(vector, x["c"])).alias("distance"), x["cluster_id"].alias("cluster_id"))))
 
 
-def update(rows: DataFrame, *, group: str = "cluster_id", vector: str = "embedding") -> DataFrame:
-    """The normalised mean of each group's normalised vectors; partial sums per component are shuffled."""
-    parts = rows.select(group, F.posexplode(normalize(F.col(vector))).alias("at", "x"))
-    means = parts.groupBy(group, "at").agg(F.avg("x").alias("x"))
-    joined = means.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs"))
-    return joined.select(group, normalize(F.transform("xs", lambda x: x["x"])).alias("centroid"))
+def assign(rows: DataFrame, centroids: list, *, key: str = "id", vector: str = "embedding", measured: list | None = None, packed: bool = False) -> DataFrame:
+    """key, cluster_id of the nearest centroid, and distance to it (or to the one of that number in ``measured``)."""
+    unit = F.col(vector).cast("array<double>") if packed else normalize(F.col(vector))
+    spark = rows.sparkSession
+    near = rows.select(F.col(key).alias("key"), unit.alias("v")).crossJoin(F.broadcast(listed(spark, centroids))).select("key", "v", nearest(F.col("v"), F.col("corvane_all")).alias("x"))
+    out = near.select("key", "v", "x.cluster_id", "x.distance")
+    if measured is not None:
+        out = out.crossJoin(F.broadcast(listed(spark, measured))).withColumn("distance", 1 - dot(F.col("v"), F.col("corvane_all")[F.col("cluster_id")]["c"]))
+    return out.select(F.col("key").alias(key), "cluster_id", "distance")
 
 
 class _Rows:
@@ -168,6 +175,33 @@ class _Rows:
         return sums, counts, first.inertia, first.changed
 
 
+def moved(sums, counts, centroids: list[np.ndarray]) -> list[np.ndarray]:
+    """The normalised means of the members; a centroid without any stays."""
+    return [s / n / (np.linalg.norm(s / n) or 1.0) if n else c for s, n, c in zip(sums, counts, centroids, strict=True)]
+
+
+def lloyd_step(rows: DataFrame, centroids: list, *, key: str = "id", vector: str = "embedding", packed: bool = False) -> list[np.ndarray]:
+    """The centroids after one of the steps that ``kmeans`` repeats."""
+    data = _Rows(rows, key, vector, key, "float32" if packed else "float64")
+    try:
+        start = [np.array(c, np.float64) for c in centroids]
+        sums, counts, _, _ = data.step(start, None)
+        return moved(sums, counts, start)
+    finally:
+        data.df.unpersist()
+
+
+class ClusterProvider(Protocol):
+    """What may cluster in place of ``kmeans``: another engine, a remote service."""
+
+    def cluster(self, rows: DataFrame, k: int, **options) -> Clusters: ...
+
+
+class LocalClusters:
+    def cluster(self, rows: DataFrame, k: int, **options) -> Clusters:
+        return kmeans(rows, k, **options)
+
+
 def kmeans(rows: DataFrame, k: int, *, seed: int, key: str = "id", vector: str = "embedding", order: str | None = None, max_iterations: int = 100, runs: int = 1, packed: bool = False, on_progress=None) -> Clusters:
     """The best of ``runs`` by inertia. ``packed``: 4-byte vectors taken as they are, and no silhouette."""
     if k <= 0:
@@ -196,40 +230,40 @@ def kmeans(rows: DataFrame, k: int, *, seed: int, key: str = "id", vector: str =
                     converged = True
                     break
                 used = centroids
-                centroids = [s / n / (np.linalg.norm(s / n) or 1.0) if n else c for s, n, c in zip(sums, counts, centroids, strict=True)]
+                centroids = moved(sums, counts, centroids)
                 iteration += 1
             if best is None or inertia < best[1]:
                 # Members are those of the last assignment, distances those to the last centroids.
                 best = (centroids, inertia, iteration + converged, converged, centroids if converged or used is None else used)
         centroids, inertia, iterations, converged, judged = best
-        at = nearest(normalize(F.col(vector)) if not packed else F.col(vector).cast("array<double>"), judged)
-        table = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centroids))
-        unit = normalize(F.col(vector)) if not packed else F.col(vector).cast("array<double>")
-        placed = rows.withColumn("cluster_id", at["cluster_id"]).withColumn("distance", 1 - dot(unit, table[F.col("cluster_id")]))
+        placed = assign(rows, judged, key=key, vector=vector, measured=centroids, packed=packed)
         sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("size"))
-        listed = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")
-        found = Clusters(k, listed.join(sizes, "cluster_id", "left").fillna(0, ["size"]), placed.select(key, "cluster_id", "distance"), inertia, iterations, converged)
+        table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")
+        found = Clusters(k, table.join(sizes, "cluster_id", "left").fillna(0, ["size"]), placed, inertia, iterations, converged)
         if not packed and k > 1 and data.n > 1:
-            found.silhouette = silhouette(placed.select(F.col(order).alias("ord"), "cluster_id", F.col(vector).alias("embedding")), order="ord").first().silhouette
+            by_order = rows.select(F.col(order).alias("ord"), F.col(vector).alias("embedding"))
+            found.silhouette = silhouette(assign(by_order, judged, key="ord").join(by_order, "ord"), order="ord").first().silhouette
         return found
     finally:
         data.df.unpersist()
 
 
-def kmeans_search(rows: DataFrame, low: int, high: int, *, seed: int, **options) -> list[Clusters]:
+def kmeans_search(rows: DataFrame, low: int, high: int, *, seed: int, provider: ClusterProvider | None = None, **options) -> list[Clusters]:
     """Every k of the range that the rows allow, best silhouette first."""
     n = rows.count()
-    return sorted((kmeans(rows, k, seed=seed, **options) for k in range(low, min(high, n) + 1)), key=lambda c: -c.silhouette)
+    by = provider or LocalClusters()
+    return sorted((by.cluster(rows, k, seed=seed, **options) for k in range(low, min(high, n) + 1)), key=lambda c: -c.silhouette)
 
 
 def stride_sample(rows: DataFrame, most: int, *, order: str, group: str | None = None) -> DataFrame:
-    """Of each group of n rows all, or those at floor(s * n / most); numbered by ``order``."""
-    w = W.partitionBy(group) if group else W.partitionBy(F.lit(0))
-    numbered = rows.withColumns({"i": F.row_number().over(w.orderBy(order)) - 1, "n": F.count("*").over(w)})
+    """Of each group of n rows all, or those at floor(s * n / most) by ``order``, whose values are unique. Ids alone are
+    numbered; the rows picked are joined back."""
+    narrow = rows.select(order, *([group] if group else []))
     step = F.col("n") / F.lit(float(most))
     s = F.ceil(F.col("i") / step)
     taken = (F.col("n") <= most) | ((F.floor(s * step) == F.col("i")) & (s < most))
-    return numbered.where(taken).drop("i", "n")
+    picked = numbered(narrow, order=order, group=group).where(taken).select(F.col(order).alias("corvane_picked"))
+    return rows.join(picked, F.col(order).eqNullSafe(F.col("corvane_picked")), "left_semi")
 
 
 def silhouette(rows: DataFrame, *, order: str = "id", group: str = "cluster_id", vector: str = "embedding", sample: int = 2000, most: int = 200) -> DataFrame:

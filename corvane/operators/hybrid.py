@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.text import tokenize
+from corvane.functions.text import plain_terms, tokenize
 from corvane.functions.vector import cosine_similarity
 
 
@@ -74,7 +74,7 @@ def matches_all(terms: Column, query: Column) -> Column:
 
 
 def websearch(terms: Column, query: str) -> Column:
-    """Words (all), "quoted phrases" (neighbouring terms), OR, and - before what must not occur."""
+    """Words (all), "quoted phrases" (neighbouring terms), OR, and - before what must not occur. Stop words ask nothing."""
     any_of, all_of = [], []
 
     def phrase(words: list[str]) -> Column:
@@ -88,7 +88,7 @@ def websearch(terms: Column, query: str) -> Column:
                 all_of = []
             continue
         negative = sign == "-" or word.startswith("-")
-        words = [w for w in re.split("[^a-z0-9]+", (quoted or word).lower()) if len(w) >= 2]
+        words = plain_terms(quoted or word)
         if not words:
             continue
         met = phrase(words)

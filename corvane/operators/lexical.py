@@ -10,20 +10,39 @@ from pyspark.sql import functions as F
 from corvane.functions.text import describe_tokens, tokenize
 
 
+class DuplicateIds(ValueError):
+    pass
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    postings: DataFrame  # id, term, tf
-    terms: DataFrame  # term, df
-    docs: DataFrame  # id, length (empty documents too)
+    tokens: DataFrame  # id, length, tokens; a row per document, empty ones too
     corpus: DataFrame  # n, avg_length; one row
 
+    @property
+    def postings(self) -> DataFrame:
+        """id, term, tf of the whole corpus."""
+        return self.tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
-def build_index(docs: DataFrame, *, key: str = "id", text: str = "text") -> Bm25Index:
-    """``key`` must be unique."""
-    split = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    lengths = split.select("id", F.size("tokens").cast("long").alias("length"))
-    postings = split.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return Bm25Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), lengths, lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length")))
+    @property
+    def docs(self) -> DataFrame:
+        return self.tokens.select("id", "length")
+
+
+def build_index(docs: DataFrame, *, key: str = "id", text: str = "text", path: str | None = None, check_ids: bool = False) -> Bm25Index:
+    """``key`` must be unique (``check_ids`` raises where it is not). With a ``path`` the tokens are written there, so the
+    corpus is split once, however often the index is read; statistics then read lengths alone."""
+    split = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).select("id", F.size("tokens").cast("long").alias("length"), "tokens")
+    if path:
+        split.write.parquet(path)
+        split = docs.sparkSession.read.schema(split.schema).parquet(path)
+    if check_ids and split.groupBy("id").count().where("count > 1").head(1):
+        raise DuplicateIds(f"column {key} repeats values")
+    return Bm25Index(split, split.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length")))
 
 
 def query_terms(queries: DataFrame, *, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -38,13 +57,18 @@ def bm25_weight(tf: Column, df: Column, n: Column, length: Column, avg_length: C
 
 
 def score(index: Bm25Index, queries: DataFrame, *, k1: float = 1.2, b: float = 0.75, key: str = "query_id", text: str = "text") -> DataFrame:
-    """query_id, id, score of every document that holds a query term (a repeated term counts again)."""
+    """query_id, id, score of every document that holds a query term (a repeated term counts again).
+
+    Tokens that nobody asks for go before anything is shuffled; how often a term occurs in a document and how many
+    documents hold it come from the same small rows.
+    """
     asked = query_terms(queries, key=key, text=text)
+    tokens = index.tokens.select("id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = tokens.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     # The statistics of asked terms only are joined to the postings; the corpus row is one row.
-    stats = asked.join(index.terms, "term").crossJoin(F.broadcast(index.corpus))
-    met = stats.join(index.postings, "term").join(index.docs, "id")
+    stats = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(index.corpus))
     weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avg_length"), k1, b)
-    return met.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
+    return postings.join(stats, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
 
 
 def normalized(scores: DataFrame, queries: DataFrame, *, key: str = "query_id") -> DataFrame:

@@ -7,6 +7,7 @@ has transactions.
 from __future__ import annotations
 
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -15,29 +16,58 @@ from pyspark.sql import functions as F
 
 
 class Snapshot:
-    """Versions of a table under one path; readers see the latest that was finished."""
+    """Versions of a table under one path; readers see the latest that was finished.
 
-    def __init__(self, spark, path: str, schema: str):
+    A version is finished when its files are (``_SUCCESS``) and, if it is part of a transaction, when that has its mark
+    in ``log`` - one file, so all versions of a transaction are finished at once. Versions that a crash left unfinished
+    are never read, are in nobody's way and go with the next ones.
+    """
+
+    def __init__(self, spark, path: str, schema: str, log: str | None = None):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.log = (log or f"{self.path.rpartition('/')[0]}/_transactions").rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._at = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._path("")):
+    def _all(self) -> list[tuple[int, str]]:
+        """(number, folder) of every version, finished or not."""
+        if not self._fs.exists(self._at(self.path)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{n}/_SUCCESS")))
+        found = (re.fullmatch(r"v(\d+)(?:-\w+)?", s.getPath().getName()) for s in self._fs.listStatus(self._at(self.path)))
+        return sorted((int(m[1]), m[0]) for m in found if m)
+
+    def _finished(self, folder: str) -> bool:
+        mark = folder.partition("-")[2]
+        return self._fs.exists(self._at(f"{self.path}/{folder}/_SUCCESS")) and (not mark or self._fs.exists(self._at(f"{self.log}/{mark}")))
+
+    def versions(self) -> list[int]:
+        return [n for n, folder in self._all() if self._finished(folder)]
 
     def read(self) -> DataFrame:
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+        found = [folder for _, folder in self._all() if self._finished(folder)]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+
+    def stage(self, rows: DataFrame, mark: str = "") -> None:
+        """Writes a version; with a ``mark`` it is finished by ``finish(mark)`` alone."""
+        found = self._all()
+        number = found[-1][0] + 1 if found else 0
+        rows.write.parquet(f"{self.path}/v{number}" + (f"-{mark}" if mark else ""))
+
+    def finish(self, mark: str) -> None:
+        self._fs.create(self._at(f"{self.log}/{mark}")).close()
+
+    def tidy(self, keep: int = 2) -> None:
+        """Deletes all but the last ``keep`` finished versions, and what is unfinished before them."""
+        found = self._all()
+        finished = [n for n, folder in found if self._finished(folder)][-keep:]
+        for n, folder in found:
+            if finished and n < finished[0] or finished and n < finished[-1] and not self._finished(folder):
+                self._fs.delete(self._at(f"{self.path}/{folder}"), True)
 
     def replace(self, rows: DataFrame, keep: int = 2) -> None:
-        found = self.versions()
-        rows.write.parquet(f"{self.path}/v{(found[-1] + 1) if found else 0}")
-        for old in found[: -(keep - 1)] if keep > 1 else found:
-            self._fs.delete(self._path(f"v{old}"), True)
+        self.stage(rows)
+        self.tidy(keep)
 
     def append(self, rows: DataFrame) -> None:
         self.replace(self.read().unionByName(rows))
@@ -129,6 +159,25 @@ def save_descriptions(store: DataFrame, rows: DataFrame, serializer=F.to_json) -
     return store.unionByName(rows.withColumn("description", serializer(F.col("value"))).select(*store.columns))
 
 
+def ensure_terms(glossary: DataFrame, requests: DataFrame, generate, *, key: str = "article_id") -> tuple[DataFrame, DataFrame]:
+    """(article, terms, generated) of each request, and the glossary with what was made. ``generate`` maps the requests
+    that have no terms to rows of the glossary's columns; an article it gives none for has null terms."""
+    made = generate(requests.join(glossary.select(key).distinct(), key, "left_anti")).select(*glossary.columns)
+    saved = save_terms(glossary, made)
+    fresh = made.select(key).distinct().withColumn("generated", F.lit(True))
+    return find_terms(saved, requests, key=key).join(fresh, key, "left").withColumn("generated", F.coalesce("generated", F.lit(False))), saved
+
+
+def ensure_description(store: DataFrame, requests: DataFrame, generate, *, key: str = "article_id", serializer=F.to_json) -> tuple[DataFrame, DataFrame]:
+    """(article, description, generated) of each request, and the store with what was made. ``generate`` maps the requests
+    that have no description to rows of id, article and value; a stored null is no description."""
+    known = store.where(F.col("description").isNotNull()).select(key).distinct()
+    made = generate(requests.join(known, key, "left_anti"))
+    saved = save_descriptions(store, made, serializer)
+    fresh = made.select(key).distinct().withColumn("generated", F.lit(True))
+    return find_descriptions(saved, requests, key=key).join(fresh, key, "left").withColumn("generated", F.coalesce("generated", F.lit(False))), saved
+
+
 # Batch jobs. A client has create(requests), retrieve(id) -> dict and results(id) -> iterable of dicts.
 
 
@@ -158,6 +207,13 @@ def iterate_results(client, batch_id: str, parse):
             yield {"custom_id": entry["custom_id"], "error": error}
 
 
+def result_stream(spark, path: str) -> DataFrame:
+    """Entries (custom_id, type, message) of JSON-lines result files as they arrive, for ``batch_results``."""
+    lines = spark.readStream.text(path)
+    entry = F.from_json("value", "custom_id string, result struct<type: string, message: string>")
+    return lines.where(F.trim("value") != "").select(entry.alias("e")).select("e.custom_id", "e.result.type", "e.result.message")
+
+
 def poll_table(states: DataFrame) -> DataFrame:
     return states.withColumn("done", F.col("status") == "ended")
 

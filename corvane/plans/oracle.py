@@ -182,6 +182,12 @@ SELECT vec_id, arg_min(cluster_id, distance)::INTEGER AS cluster_id, round(min(d
 TERMS_W = f"list_concat(list_transform({tok('text')}, lambda t: {{'t': t, 'w': 1.0}}), list_transform({tok('lang')}, lambda t: {{'t': t, 'w': 0.1}}))"
 ANOU = "list_sum(list_transform(list_filter(ws, lambda x: x.t = 'anou'), lambda x: x.w))"
 
+# The terms of each article, each once, in order of their first place.
+TERM_LISTS = f"""SELECT doc_id AS article_id, string_agg(w || '=' || length(w), ';' ORDER BY p) AS terms FROM documents LEFT JOIN (
+  SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest({tok("text")}) AS w, generate_subscripts({tok("text")}, 1) AS p FROM documents) GROUP BY ALL
+) USING (doc_id) GROUP BY doc_id"""
+NEED = "ceil(length(coalesce(text, '')) / 1.5::DOUBLE)::BIGINT"
+
 ORACLES = {
     "tokenize_terms": f"SELECT doc_id, len({tok('text')})::INTEGER AS n_terms, array_to_string({tok('text')}, ' ') AS terms FROM documents",
     "bm25_corpus_stats": ALL + " SELECT n, round(avg_length, 6) AS avg_length FROM corpus",
@@ -207,13 +213,17 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY pos)
 counted AS (SELECT lang, term, count(*) AS df, arg_min(place, doc_id) AS place, min(doc_id) AS first FROM placed GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, first, place)::INTEGER AS rank FROM counted)
 SELECT lang, term, df, rank FROM ranked WHERE rank <= 20""",
+    "query_rewrite": """
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, turn, role, concat_ws(' ', lag(text, 2) OVER w, lag(text) OVER w, text) AS rewritten FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)""",
+    "embedding_dims": "SELECT vec_id, len(embedding)::INTEGER AS dims FROM embeddings",
     "content_hash_dups": f"SELECT {HASH} AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "sanitize_text": "WITH r AS (SELECT doc_id, CASE WHEN text = '' THEN ' ' ELSE substr(text, 1, 4000) END AS c FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '')) SELECT doc_id, length(c)::INTEGER AS n_chars, sha256(c) AS digest FROM r",
     "hash_path": "SELECT page_id, substr(sha256(url), 1, 16) AS path_hash FROM pages",
     "l2_normalize": f"SELECT vec_id, {SUMMARY} FROM (SELECT vec_id, {unit('embedding')} AS v FROM embeddings)",
     "matryoshka_truncate": f"SELECT vec_id, {SUMMARY} FROM (SELECT vec_id, {unit('embedding[1:16]')} AS v FROM embeddings)",
     "cosine_pairs": f"SELECT a.vec_id, round({cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "knn_topk": f"WITH c AS ({centroids()}), r AS (SELECT c.id AS query_id, vec_id, 1 - {cos('e.embedding', 'c.embedding')} AS distance FROM c, embeddings e), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM r) SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM n WHERE rank <= 5",
+    "knn_topk": f"WITH r AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - {cos('e.embedding', 'q.embedding')} AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM r) SELECT query_id, vec_id, rank, round(distance, 6) AS distance FROM n WHERE rank <= 5",
     "rank_by_vector": f"SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, {cos('embedding', QV)} AS s FROM embeddings WHERE embedding IS NOT NULL) WHERE s > 0 ORDER BY s DESC, vec_id LIMIT 20",
     "conditional_similarity": f"SELECT doc_id, round(CASE WHEN embedding IS NULL THEN 0 ELSE {cos('embedding', QV)} END, 6) AS similarity FROM documents LEFT JOIN embeddings ON doc_id = vec_id",
     "point_distance": f"SELECT vec_id, round(1 - {cos('embedding', QV)}, 6) AS distance FROM embeddings",
@@ -225,9 +235,10 @@ SELECT lang, term, df, rank FROM ranked WHERE rank <= 20""",
     "hybrid_score": FUSED + f" SELECT id, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, round({FUSED_SCORE}, 6) AS score FROM fused ORDER BY score DESC, id LIMIT 20",
     "hybrid_boosts": FUSED + f" SELECT id, round({BOOST_SCORE}, 6) AS score FROM boosted",
     "hybrid_explain_parts": FUSED + f" SELECT id, round(cosine, 6) AS cosine, round({LEX}, 6) AS normalized_bm25, round(quality_boost, 6)::DOUBLE AS quality_boost, round(toxic_boost, 6)::DOUBLE AS toxic_boost, round({BOOST_SCORE}, 6) AS final_score FROM boosted",
+    "hybrid_formula_text": FUSED + f" SELECT id, printf('(1-0.3)*(%.3f+%.3f)+0.3*%.3f=%.3f', cosine::DOUBLE, (quality_boost + toxic_boost)::DOUBLE, {LEX}::DOUBLE, ({BOOST_SCORE})::DOUBLE) AS formula FROM boosted",
     "rerank_boosts": FUSED + f" SELECT f.id, round({FUSED_SCORE} + 0.5 * coalesce(quality, 0) + coalesce(n_chars, 0) / 100000.0::DOUBLE, 6) AS final_score FROM fused f LEFT JOIN labels l ON l.doc_id = f.id LEFT JOIN documents d ON d.doc_id = f.id",
     "fts_and_match": f"SELECT doc_id, lang FROM documents WHERE list_has_all({tok('text')}, ['anou', 'eran'])",
-    "fts_websearch": f"WITH d AS (SELECT doc_id, lang, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS s FROM documents) SELECT doc_id, lang FROM d WHERE (contains(s, ' anou ') AND contains(s, ' ed an ')) OR (contains(s, ' eran ') AND NOT contains(s, ' tionan '))",
+    "fts_websearch": f"WITH d AS (SELECT doc_id, lang, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS s FROM documents) SELECT doc_id, lang FROM d WHERE (contains(s, ' anou ') AND contains(s, ' ed ')) OR (contains(s, ' eran ') AND NOT contains(s, ' tionan '))",
     "fts_hybrid_rank": f"""
 WITH c AS (SELECT doc_id AS id, {cos("embedding", QV)} AS similarity, {TERMS_W} AS ws FROM documents JOIN embeddings ON doc_id = vec_id),
 r AS (SELECT id, similarity, {ANOU} / (1 + ln(1 + {ANOU})) AS text_rank FROM c WHERE {ANOU} > 0),
@@ -235,9 +246,10 @@ s AS (SELECT *, 0.7 * similarity + 0.3 * text_rank / greatest(max(text_rank) OVE
 SELECT id, round(similarity, 6) AS similarity, round(text_rank, 6)::DOUBLE AS text_rank, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20""",
     "kmeans_assign_step": nearest_sql(),
     "kmeans_update_step": f"""
-WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest({unit("embedding")}) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY ALL)
-SELECT label, pos::INTEGER AS "at", round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m""",
-    "silhouette_exact": silhouette(2000, 200),
+WITH a AS ({nearest_sql()}),
+m AS (SELECT cluster_id, pos, avg(x) AS x FROM (SELECT cluster_id, unnest({unit("embedding")}) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings JOIN a USING (vec_id)) GROUP BY ALL)
+SELECT cluster_id, pos::INTEGER AS "at", round(x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)), 6) AS x FROM m""",
+    "silhouette_exact": silhouette(10**12, 10**12),
     "silhouette_sampled": silhouette(100, 20),
     "classify_vote_all": classified("ids"),
     "classify_vote_subset": classified("list_filter(ids, lambda x: x IN ('p0', 'p1', '3'))"),
@@ -257,7 +269,18 @@ SELECT label, vec_id, round(distance, 6) AS distance FROM r WHERE rank <= 10""",
     "dedup_should_embed": SHOULD + " SELECT * FROM judged",
     "dedup_mark": SHOULD + " SELECT s.doc_id, CASE WHEN should_embed THEN hash ELSE content_hash END AS content_hash FROM stored s JOIN judged USING (doc_id)",
     "embed_batches_fixed": "WITH n AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS batch FROM documents) SELECT source, batch, count(*) AS n, min(doc_id) AS first_id FROM n GROUP BY ALL",
+    "embed_batches_budget": f"""
+WITH RECURSIVE n AS (SELECT source, doc_id, {NEED} AS need, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+walk AS (
+  SELECT source, doc_id, r, 0::BIGINT AS batch, 1::BIGINT AS items, need AS used FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.source, n.doc_id, n.r, CASE WHEN items >= 256 OR used + need > 200000 THEN batch + 1 ELSE batch END,
+         CASE WHEN items >= 256 OR used + need > 200000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 256 OR used + need > 200000 THEN need ELSE used + need END
+  FROM walk JOIN n ON n.source = walk.source AND n.r = walk.r + 1
+)
+SELECT source, batch, count(*) AS n, min(doc_id) AS first_id FROM walk GROUP BY ALL""",
     "cost_per_event": COST + " SELECT event_id, model, round(cost_usd, 9) AS cost_usd FROM costs",
+    "cost_ledger": COST + " SELECT operation, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, round(sum(cost_usd), 6) AS cost_usd FROM costs GROUP BY ALL",
     "cost_summary": COST + " SELECT operation, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(cost_usd), 6) AS cost_usd FROM costs GROUP BY ALL",
     "cost_cap": COST + f" SELECT round(coalesce(sum(cost_usd), 0), 6) AS spent, coalesce(sum(cost_usd), 0) >= 0.0001 AS exceeded FROM costs WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 60 MINUTES",
     "cost_projection": "SELECT source, round(count(*) * (avg(n_chars) / 4) * 0.13 / 1000000, 9) AS large, round(count(*) * (avg(n_chars) / 4) * 0.02 / 1000000, 9) AS fallback FROM documents GROUP BY source",
@@ -268,14 +291,16 @@ SELECT label, vec_id, round(distance, 6) AS distance FROM r WHERE rank <= 10""",
     "pipeline_run_log": """SELECT event_id AS id, event_type AS run_type, CASE WHEN user_id % 4 = 0 THEN 'running' WHEN user_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status,
 CASE WHEN user_id % 4 <> 0 THEN 90000::BIGINT END AS duration_ms, CASE WHEN user_id % 4 <> 0 THEN 10::BIGINT END AS records_processed, CASE WHEN user_id % 4 <> 0 THEN 7::BIGINT END AS records_created,
 CASE WHEN user_id % 4 <> 0 THEN 1::BIGINT END AS records_failed, CASE WHEN user_id % 4 <> 0 AND user_id % 5 = 0 THEN 'boom' END AS error_message FROM events""",
-    "glossary_find_save": f"SELECT doc_id AS article_id, CASE WHEN doc_id % 2 = 1 AND len({tok('text')}) > 0 THEN array_to_string(list_transform({tok('text')}[1:3], lambda w: w || '=' || length(w)), ';') END AS terms FROM documents",
-    "description_find_save": """SELECT doc_id AS article_id, CASE WHEN doc_id % 3 <> 0 THEN '{"lang":"' || lang || '","n_chars":' || n_chars || '}' END AS description FROM documents""",
+    "glossary_find_save": f"WITH w AS ({TERM_LISTS}) SELECT article_id, terms FROM w UNION ALL SELECT -5, NULL",
+    "ensure_terms": f"WITH w AS ({TERM_LISTS}) SELECT article_id, CASE WHEN article_id % 3 = 0 THEN 'held=4' ELSE terms END AS terms, article_id % 3 <> 0 AND terms IS NOT NULL AS generated FROM w UNION ALL SELECT -5, NULL, false",
+    "description_find_save": """SELECT doc_id AS article_id, '{"lang":"' || lang || '","n_chars":' || n_chars || '}' AS description FROM documents UNION ALL SELECT -5, NULL""",
+    "ensure_description": """SELECT doc_id AS article_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 = 0 THEN 'held' ELSE '{"lang":"' || lang || '","n_chars":' || n_chars || '}' END AS description, doc_id % 4 = 0 OR doc_id % 3 <> 0 AS generated FROM documents""",
     "batch_poll": JOBS + " SELECT id, CASE WHEN status = 'done' THEN 'ended' ELSE 'in_progress' END AS status, status = 'done' AS done FROM jobs",
     "batch_results": "WITH r AS (SELECT event_id, user_id % 4 = 0 AS bad, user_id % 5 = 0 AS broken, props FROM events) SELECT event_id AS custom_id, CASE WHEN bad THEN 'error' WHEN broken THEN 'unparsed' ELSE 'data' END AS outcome, CASE WHEN NOT bad AND NOT broken THEN json_extract_string(props, '$.k') END AS k FROM r",
     "sql_params": "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 30 AND l_discount <= 10 GROUP BY l_returnflag",
     "sql_in_list": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 1000 GROUP BY o_orderpriority",
     "sql_in_empty": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE false GROUP BY o_orderpriority",
-    "stream_upsert": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'old', -1 FROM documents WHERE doc_id % 2 <> 0 AND doc_id % 5 = 0",
+    "stream_upsert": "SELECT doc_id, lang, n_chars FROM documents UNION ALL SELECT unnest([-1, -2]), 'own', -1",
     "stream_cost_window": "WITH w AS (SELECT unnest(generate_series(time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 55 MINUTES, time_bucket(INTERVAL 5 MINUTES, ts), INTERVAL 5 MINUTES)) AS window_start, value FROM events) SELECT window_start, round(sum(value), 6) AS spent, count(*) AS calls FROM w GROUP BY window_start",
 }
 assert DIMS == len(QUERY_VECTOR)

@@ -36,7 +36,11 @@ def query_vector():
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
     return f"{base.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,7 +59,7 @@ def tokenize_terms(spark, d):
 
 
 def _index(spark, d):
-    return lexical.build_index(t(spark, d, "documents"), key="doc_id")
+    return lexical.build_index(t(spark, d, "documents"), key="doc_id", path=scratch(spark, "bm25"))
 
 
 def bm25_corpus_stats(spark, d):
@@ -99,6 +103,16 @@ def query_expand(spark, d):
     return t(spark, d, "benchmark").select("item_id", "text").unionByName(extra).select("item_id", text.expand_query(F.col("text")).alias("expanded"))
 
 
+def query_rewrite(spark, d):
+    """Each turn asked together with the two before it, abbreviations expanded."""
+    turns = t(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("ord", F.struct("turn", "role", "text"))
+    return text.rewrite_queries(turns, lambda q, earlier: F.concat_ws(" ", earlier, q), session="conv_id", order="ord", query="text", history=2).select("conv_id", "turn", "role", "rewritten")
+
+
+def embedding_dims(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", F.size(vector.of_dims(F.col("embedding"), DIMS)).alias("dims"))
+
+
 def top_terms_by_lang(spark, d):
     return lexical.top_terms(t(spark, d, "documents"), "lang")
 
@@ -148,12 +162,7 @@ def _centroids(spark, d, *more):
 
 
 def knn_topk(spark, d):
-    out = ranking.knn(_centroids(spark, d), t(spark, d, "embeddings"), 5, query_key="id", key="vec_id")
-    return out.select("query_id", F.col("id").alias("vec_id"), "rank", r6("distance").alias("distance"))
-
-
-def knn_topk_rows(spark, d):
-    """Every row whose id is divisible by 50 against all rows. ``knn_topk`` asks for the label means its SQL names."""
+    """Every row whose id is divisible by 50 against all rows, in blocks."""
     out = ranking.knn_blocks(t(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, 5, path=scratch(spark, "knn"), key="vec_id")
     return out.select("query_id", F.col("id").alias("vec_id"), "rank", r6("distance").alias("distance"))
 
@@ -212,7 +221,9 @@ def _fused(spark, d):
     """Candidates with cosine and BM25 over the candidates alone."""
     c = _candidates(spark, d)
     asked = literals(spark, [(0, QUERY_TEXT)], "query_id int, text string")
-    scores = lexical.score(lexical.build_index(c), asked).select("id", F.col("score").alias("bm25"))
+    path = scratch(spark, "fused")
+    lexical.score(lexical.build_index(c, path=f"{path}/tokens"), asked).select("id", F.col("score").alias("bm25")).write.parquet(f"{path}/scores")
+    scores = spark.read.parquet(f"{path}/scores")  # read twice: for the best, and to be fused
     best = scores.agg(F.coalesce(F.max("bm25"), F.lit(1.0)).alias("bm25_max"))
     out = c.select("id", vector.cosine_similarity(F.col("embedding"), query_vector()).alias("cosine")).join(scores, "id", "left").crossJoin(F.broadcast(best))
     return out.withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
@@ -262,7 +273,7 @@ def fts_and_match(spark, d):
     return t(spark, d, "documents").where(hybrid.matches_all(terms, F.lit("anou eran"))).select("doc_id", "lang")
 
 
-WEB = 'anou "ed an" OR eran -tionan'
+WEB = 'the anou "ed an" of OR eran -tionan'
 
 
 def fts_websearch(spark, d):
@@ -283,8 +294,10 @@ def kmeans_assign_step(spark, d):
 
 
 def kmeans_update_step(spark, d):
-    out = cluster.update(t(spark, d, "embeddings"), group="label").select("label", F.posexplode("centroid").alias("at", "x"))
-    return out.select("label", "at", r6("x").alias("x"))
+    unit = [[x / math.sqrt(sum(y * y for y in c)) for x in c] for c in FIXED_CENTROIDS]
+    after = cluster.lloyd_step(t(spark, d, "embeddings"), unit, key="vec_id")
+    rows = [(i, j, float(x)) for i, c in enumerate(after) for j, x in enumerate(c)]
+    return spark.createDataFrame(rows, "cluster_id int, at int, x double").select("cluster_id", "at", r6("x").alias("x"))
 
 
 def kmeans_fit(spark, d):
@@ -427,6 +440,15 @@ def cost_per_event(spark, d):
     return _cost_events(spark, d).select("event_id", "model", F.round("cost_usd", 9).alias("cost_usd"))
 
 
+def cost_ledger(spark, d):
+    """Calls appended to a ledger, priced, and read back."""
+    ledger = state.Snapshot(spark, f"{scratch(spark, 'ledger')}/cost", embed.COST_SCHEMA)
+    calls = _cost_events(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    embed.record_costs(calls.where("operation <> 'click'"), ledger)
+    embed.record_costs(calls.where("operation = 'click'"), ledger)
+    return ledger.read().groupBy("operation", "model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), r6(F.sum("cost_usd")).alias("cost_usd"))
+
+
 def cost_summary(spark, d):
     return embed.cost_summary(_cost_events(spark, d)).withColumn("cost_usd", r6("cost_usd"))
 
@@ -437,7 +459,7 @@ def cost_cap(spark, d):
 
 def cost_projection(spark, d):
     s = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.avg("n_chars").alias("chars"))
-    return s.select("source", *(F.round(embed.projected_cost(F.col("docs"), F.col("chars") / 4, m), 9).alias(n) for m, n in (("large-embedding", "large"), ("unlisted", "fallback"))))
+    return s.select("source", *(F.round(embed.projected_cost(F.col("docs"), F.col("chars") / 4, m), 9).alias(n) for m, n in (("text-embedding-3-large", "large"), ("unlisted", "fallback"))))
 
 
 def usage_totals(spark, d):
@@ -476,19 +498,48 @@ def pipeline_run_log(spark, d):
     return state.finish_runs(ledger, ended).select("id", "run_type", "status", "duration_ms", "records_processed", "records_created", "records_failed", "error_message")
 
 
+def _terms_of(docs):
+    """A glossary row for each term of an article, in order; ids are article * 2^20 + place."""
+    placed = docs.select("article_id", F.posexplode(F.array_distinct(text.tokenize(F.col("text")))).alias("at", "keyword"))
+    return placed.select((F.col("article_id") * 2**20 + F.col("at")).alias("id"), "article_id", "keyword", F.length("keyword").cast("string").alias("definition"))
+
+
+def _articles(spark, d):
+    """All documents and one that nothing is known of."""
+    return t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text", "lang", "n_chars").unionByName(literals(spark, [(-5, None, None, None)], "article_id bigint, text string, lang string, n_chars bigint"))
+
+
+def _listed(found, *more):
+    return found.select("article_id", F.array_join(F.transform("terms", lambda x: F.concat(x["keyword"], F.lit("="), x["definition"])), ";").alias("terms"), *more)
+
+
 def glossary_find_save(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), text.tokenize(F.col("text")).alias("w"))
-    made = docs.where("article_id % 2 = 1").select((F.col("article_id") * 10).alias("id"), "article_id", F.posexplode(F.slice("w", 1, 3)).alias("at", "keyword"))
-    made = made.select((F.col("id") + F.col("at")).alias("id"), "article_id", "keyword", F.length("keyword").cast("string").alias("definition"))
-    saved = state.save_terms(made.limit(0), made)
-    return state.find_terms(saved, docs).select("article_id", F.array_join(F.transform("terms", lambda x: F.concat(x["keyword"], F.lit("="), x["definition"])), ";").alias("terms"))
+    articles = _articles(spark, d)
+    made = _terms_of(articles)
+    return _listed(state.find_terms(state.save_terms(made.limit(0), made), articles))
+
+
+def ensure_terms(spark, d):
+    """The glossary holds one term for every third article; the others' are generated."""
+    articles = _articles(spark, d)
+    held = articles.where("article_id % 3 = 0").select((F.col("article_id") * 2**20).alias("id"), "article_id", F.lit("held").alias("keyword"), F.lit("4").alias("definition"))
+    return _listed(state.ensure_terms(held, articles, _terms_of)[0], "generated")
 
 
 def description_find_save(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "lang", "n_chars")
     empty = docs.limit(0).select(F.col("article_id").alias("id"), "article_id", F.lit("").alias("description"))
-    saved = state.save_descriptions(empty, docs.where("article_id % 3 <> 0").select(F.col("article_id").alias("id"), "article_id", F.struct("lang", "n_chars").alias("value")))
-    return state.find_descriptions(saved, docs)
+    saved = state.save_descriptions(empty, docs.select(F.col("article_id").alias("id"), "article_id", F.struct("lang", "n_chars").alias("value")))
+    return state.find_descriptions(saved, _articles(spark, d))
+
+
+def ensure_description(spark, d):
+    """The store holds null for every fourth article, a text for every other third; the rest are generated."""
+    articles = _articles(spark, d).where("article_id >= 0")
+    text_of = F.when(F.col("article_id") % 4 == 0, F.lit(None)).otherwise(F.lit("held"))
+    store = articles.where("article_id % 4 = 0 OR article_id % 3 = 0").select(F.col("article_id").alias("id"), "article_id", text_of.alias("description"))
+    make = lambda rows: rows.select((F.col("article_id") + 2**40).alias("id"), "article_id", F.struct("lang", "n_chars").alias("value"))
+    return state.ensure_description(store, articles, make)[0]
 
 
 def batch_poll(spark, d):
@@ -530,17 +581,7 @@ def sql_in_empty(spark, d):
 
 
 def stream_upsert(spark, d):
-    base = scratch(spark, "upsert")
-    rows = t(spark, d, "documents")
-    target = state.Snapshot(spark, f"{base}/table", "doc_id long, lang string, n_chars long")
-    target.replace(rows.where("doc_id % 5 = 0").select("doc_id", F.lit("old").alias("lang"), F.lit(-1).cast("long").alias("n_chars")))
-    stream = streaming.collect(spark, f"{d}/documents.parque[t]", rows.schema).where("doc_id % 2 = 0").select("doc_id", "lang", "n_chars")
-    streaming.upsert_stream(stream, target, key="doc_id", order="n_chars", checkpoint=f"{base}/progress").awaitTermination()
-    return target.read()
-
-
-def stream_upsert_whole(spark, d):
-    """The whole table through the upsert, over stale rows and rows of the target's own. ``stream_upsert`` streams the half its SQL names."""
+    """The whole table through the upsert, over stale rows and rows of the target's own."""
     base = scratch(spark, "upsert")
     rows = t(spark, d, "documents")
     target = state.Snapshot(spark, f"{base}/table", "doc_id long, lang string, n_chars long")
@@ -567,12 +608,12 @@ def stream_cost_window(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_terms, bm25_corpus_stats, bm25_term_df, bm25_postings, bm25_score, bm25_batch_topk, bm25_normalized, query_expand, top_terms_by_lang, content_hash_dups, sanitize_text,
-        hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, knn_topk_rows, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
+        tokenize_terms, bm25_corpus_stats, bm25_term_df, bm25_postings, bm25_score, bm25_batch_topk, bm25_normalized, query_expand, query_rewrite, embedding_dims, top_terms_by_lang, content_hash_dups, sanitize_text,
+        hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
         find_threshold, pairs_above_threshold, hybrid_score, hybrid_boosts, hybrid_explain_parts, hybrid_formula_text, rerank_boosts, fts_and_match, fts_websearch, fts_hybrid_rank,
         kmeans_assign_step, kmeans_update_step, kmeans_fit, kmeans_packed, kmeans_search, silhouette_exact, silhouette_sampled, classify_vote_all, classify_vote_subset, classify_vote_deepest,
         classify_vote_specific, sample_near_centroid, sample_at_mode, eval_summary, eval_gates, dedup_should_embed, dedup_mark, embed_batches_fixed, embed_batches_budget, embed_hashing,
-        cost_per_event, cost_summary, cost_cap, cost_projection, usage_totals, ensure_cached, cas_update, detect_orphans, pipeline_run_log, glossary_find_save, description_find_save,
-        batch_poll, batch_results, sql_params, sql_in_list, sql_in_empty, stream_upsert, stream_upsert_whole, stream_cost_window,
+        cost_per_event, cost_ledger, cost_summary, cost_cap, cost_projection, usage_totals, ensure_cached, cas_update, detect_orphans, pipeline_run_log, glossary_find_save, ensure_terms, description_find_save, ensure_description,
+        batch_poll, batch_results, sql_params, sql_in_list, sql_in_empty, stream_upsert, stream_cost_window,
     )
 } | {f"eval_{n}": _metric(m) for n, m in (("precision", "precision"), ("hitrate", "hit_rate"), ("recall", "recall"), ("mrr", "mrr"), ("ndcg", "ndcg"))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,14 +75,25 @@ class SqlStore:
             self._staged[table] = rows
 
     def transaction(self, work):
-        """``work(store)``; what it staged is written if it returns, dropped if it raises. Not nested."""
+        """``work(store)``; what it staged is written if it returns, dropped if it raises. Not nested.
+
+        All tables are written first and then finished by one mark in the log they share, so readers see all of a
+        transaction or nothing, also if a write fails or the driver dies between two of them.
+        """
         if self._staged is not None:
             raise RuntimeError("transactions do not nest")
         self._staged = {}
         try:
-            result = work(self)
-            for table, rows in self._staged.items():
-                self.snapshots[table].replace(rows)
+            result, mark = work(self), uuid.uuid4().hex
+            tables = [self.snapshots[t] for t in self._staged]
+            if len({t.log for t in tables}) > 1:
+                raise ValueError("tables of one transaction must share a log")
+            for snapshot, rows in zip(tables, self._staged.values(), strict=True):
+                snapshot.stage(rows, mark)
+            if tables:
+                tables[0].finish(mark)
+            for snapshot in tables:
+                snapshot.tidy()
             return result
         finally:
             self._staged = None
