@@ -14,8 +14,12 @@ The whole conversation is then reparsed and compared; if it differs, every turn
 DataFrame functions only. A conversation is one output row, so its turns meet in one task by definition; turns of
 different conversations never do.
 
-Defined cases: a null text or role is empty; turns are ordered by (turn, role, text), nulls first, so ties and
-repeated rows have one order; rows with a null conversation id form one conversation; an empty table gives none.
+The loss mask is a list of byte spans of the rendered text; what the query digests is read back through it.
+
+Defined cases: a null text or role is empty; a very long text is one text like any other (a rendered conversation has
+to fit a string of Spark's, 2 GB); turns are ordered by (turn, role, text), nulls first, so ties and
+repeated rows have one order; rows with a null conversation id form one conversation; an empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,8 +69,9 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, one)
 
 
-def format_chats(turns: DataFrame, *, key: str = "conv_id") -> DataFrame:
-    """One row per conversation: key, formatted, recovered (the parsed turns) and sizes (of roles and texts as written)."""
+def format_chats(turns: DataFrame, *, key: str = "conv_id", learn: str = "assistant") -> DataFrame:
+    """One row per conversation: key, formatted, recovered (the parsed turns) and mask: where in the UTF-8 bytes of
+    ``formatted`` the texts of role ``learn`` stand (start, length), in order."""
     rows = turns.select(F.col(key).alias("key"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")
     rows = rows.withColumns({"r": F.when(conflicts(role) | role.contains(":"), escape_role(role)).otherwise(role), "t": F.when(conflicts(text), escape(text)).otherwise(text)})
@@ -76,8 +81,14 @@ def format_chats(turns: DataFrame, *, key: str = "conv_id") -> DataFrame:
     rows = rows.withColumn("same", same)
     rows = rows.withColumns({"r": F.when(F.col("same"), F.col("r")).otherwise(escape_role(role)), "t": F.when(F.col("same"), F.col("t")).otherwise(escape(text))}).drop("same")
     order = W.partitionBy("key").orderBy("turn", "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(order))
-    turn = F.struct("n", "role", "text", "r", "t")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    frame = len(OPEN) + len(MIDDLE) + len(CLOSE)
+    sizes = {"light_size": F.octet_length("t").cast("long"), "full_size": F.octet_length(escape(text)).cast("long")}
+    rows = rows.withColumns(sizes | {"light_role": F.octet_length("r"), "full_role": F.octet_length(escape_role(role))})
+    ends = {f"{x}_end": F.sum(F.col(f"{x}_role") + F.col(f"{x}_size") + frame).over(so_far) for x in ("light", "full")}
+    rows = rows.withColumns({"n": F.row_number().over(order)} | ends)
+    span = lambda x: F.struct((F.col(f"{x}_end") - F.col(f"{x}_size") - len(CLOSE)).alias("start"), F.col(f"{x}_size").alias("length")).alias(x)
+    turn = F.struct("n", "role", "text", "r", "t", span("light"), span("full"))
     chats = rows.groupBy("key").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     source = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
     light = F.array_join(F.transform("turns", lambda x: turn_text(x["r"], x["t"])), "")
@@ -86,27 +97,29 @@ def format_chats(turns: DataFrame, *, key: str = "conv_id") -> DataFrame:
     chats = chats.withColumn("kept", parse(F.col("light")) == F.col("source"))
     chats = chats.withColumn("formatted", F.when(F.col("kept"), F.col("light")).otherwise(full)).withColumn("recovered", parse(F.col("formatted")))
     checked = F.when(F.col("recovered") == F.col("source"), F.col("recovered")).otherwise(F.raise_error(F.lit("a conversation did not survive the round trip")))
-    sizes = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), F.length(F.when(F.col("kept"), x["r"]).otherwise(escape_role(x["role"]))).alias("role_chars"), F.length(F.when(F.col("kept"), x["t"]).otherwise(escape(x["text"]))).alias("text_chars")))
-    return chats.select(F.col("key").alias(key), "formatted", checked.alias("recovered"), sizes.alias("sizes"))
+    learnt = F.filter("turns", lambda x: x["role"] == learn)
+    mask = F.when(F.col("kept"), F.transform(learnt, lambda x: x["light"])).otherwise(F.transform(learnt, lambda x: x["full"]))
+    return chats.select(F.col("key").alias(key), "formatted", checked.alias("recovered"), mask.alias("mask"))
+
+
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """What stands under the mask, unescaped, nothing between. Cut by bytes, so each span costs its own length alone; the
+    bytes are bound once, as the element of an array."""
 
+    def read(data: Column) -> Column:
+        return F.array_join(F.transform(mask, lambda m: unescape(F.substr(data, (m["start"] + 1).cast("int"), m["length"].cast("int")).cast("string"))), "")
 
-def loss_spans(chats: DataFrame, *, key: str = "conv_id", learn: str = "assistant") -> DataFrame:
-    """The loss mask: a row (key, n, start, length) for each learnt text, in code points of ``formatted``."""
-    rows = chats.select(key, F.posexplode("sizes").alias("n", "x")).select(key, "n", "x.*")
-    whole = F.col("role_chars") + F.col("text_chars") + len(OPEN) + len(MIDDLE) + len(CLOSE)
-    end = F.sum(whole).over(W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("start", end - F.col("text_chars") - len(CLOSE))
-    return rows.where(F.col("role") == learn).select(key, "n", "start", F.col("text_chars").alias("length"))
+    return F.transform(F.array(formatted.cast("binary")), read)[0]
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = literal_table(spark, [{"conv_id": -7, "turn": i, "role": r, "text": said} for i, r in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
     chats = format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    loss = F.array_join(F.transform(F.filter("recovered", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
     told = F.array_join(F.transform("recovered", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    chats = chats.withColumn("loss", masked_text(F.col("formatted"), F.col("mask")))
     return chats.select(
-        "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+        "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
 
 
