@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.work import Workspace
 
+#: Nodes, of 16 bytes each, that may be broadcast.
+FEW = 1_000_000
+
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,9 +40,11 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     while not _stars(edges):
         both = _both(edges)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        if few := edges.count() <= FEW // 2:  # a row per node: then no centre of a star is one task's load
+            least = F.broadcast(least)
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(least, F.col("a") == F.col("n"))
+        small = large.join(F.broadcast(least) if few else least, F.col("a") == F.col("n"))
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
         turn += 1
         edges = work.save(small, f"{name}{turn}")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components, relabelled
-from corvane.llm.work import Shield, Workspace, mix64, partitions, read, texts_of
+from corvane.llm.work import Shield, Workspace, lean, mix64, partitions, read, texts_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 300_000  # of a worker's memo of word hashes
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, *, shingle: int, perms: int, rows: int, key: str
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "set_digest", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, set_digest binary, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "id long, n_shingles long, set_digest binary, bands array<long>")
 
 
 #: Ids of 8 bytes that may go to every executor; more are joined by a shuffle.
@@ -125,10 +125,32 @@ def set_table(docs: DataFrame, ids: DataFrame, *, shingle: int, key: str, text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle, hashes).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["id", "set"])
 
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return slim.join(small(ids), "id", "left_semi").mapInArrow(run, "id long, set binary")
+    return slim.join(small(ids), "id", "left_semi").mapInArrow(lean(run), "id long, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+#: Pairs of one set that a task may see. The partners of a set in more pairs are dealt to several.
+CROWD = 1_000
+
+
+def with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, work: Workspace, name: str) -> DataFrame:
+    """``pairs`` with ``set_<end>``, the set of their id in column ``end``.
+
+    A set in many pairs is copied as often as it takes, and its pairs are dealt among the copies by their other end.
+    """
+    mine = sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
+    crowds = work.save(pairs.groupBy(end).agg(F.count("*").alias("n")).where(f"n > {CROWD}").select(F.col(end).alias("crowd"), F.ceil(F.col("n") / CROWD).cast("int").alias("copies")), name)
+    some = crowds.count()
+    if not some:
+        return pairs.join(mine, end)
+    if some <= FEW:
+        crowds = F.broadcast(crowds)
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(crowds, F.col(end) == F.col("crowd"), "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("crowd", "copies")
+    copied = mine.join(crowds, F.col(end) == F.col("crowd"), "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("crowd", "copies")
+    return dealt.join(copied, [end, "copy"]).drop("copy")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
     """(x, y) of the pairs (a, b, x, y) whose full sets reach the threshold, as links (a, b)."""
 
     def run(batches):
@@ -144,9 +166,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("x", "y", "set_a", "set_b")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = with_set(with_set(pairs, sets, "a", "b", work, f"{name}-a"), sets, "b", "a", work, f"{name}-b")
+    return joined.select("x", "y", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
 def holders_sketch(sets: DataFrame, bits: int = 18) -> np.ndarray:
@@ -167,7 +188,7 @@ def holders_sketch(sets: DataFrame, bits: int = 18) -> np.ndarray:
         return pa.table({"piece": table.column("piece").slice(0, 1), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     out = np.zeros(1 << bits, np.uint32)
-    for r in sets.select("set").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
+    for r in sets.select("set").mapInArrow(lean(count), "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
         out[r.piece : r.piece + piece] = np.frombuffer(bytes(r["counts"]), np.uint32)
     return out
 
@@ -193,7 +214,7 @@ def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 places += range(len(order))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ns, pa.int64()), pa.array(components, pa.int64()), pa.array(np.concatenate(shingles) if shingles else []).cast(pa.int64()), pa.array(places, pa.int64())], ["rep", "n", "component", "shingle", "place"])
 
-    return mine.select("rep", "n", "component", "set").mapInArrow(run, "rep long, n long, component long, shingle long, place long")
+    return mine.select("rep", "n", "component", "set").mapInArrow(lean(run), "rep long, n long, component long, shingle long, place long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, perms: int = 48, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
     ids = work.save(members.select(F.col("rep").alias("id")).distinct(), "ids")
     sets = work.save(set_table(docs, ids, shingle=shingle, key=key, text=text), "sets")
     pairs = work.save(members.select(F.col("head.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("head.n").alias("m")).where("a < b").where(near).select("a", "b").distinct(), "pairs1")
-    links = work.save(confirmed(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent), "links1")
+    links = work.save(confirmed(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, percent, work, "crowds1"), "links1")
     labels = components(links, work, "first-")
 
     # 2. and 3. Only buckets that still hold several components, whose merging is a graph of components.
@@ -236,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, per
         ordered = tried.where(near).select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q"))
         pairs = work.save(ordered.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.of").alias("x"), F.col("q.of").alias("y")).distinct(), f"pairs{step}")
         if pairs.count():
-            links = work.save(confirmed(pairs, sets, percent), f"links{step}")
+            links = work.save(confirmed(pairs, sets, percent, work, f"crowds{step}"), f"links{step}")
             labels = relabelled(labels, components(links, work, f"step{step}-"))
 
     of_class = classes.select("set_digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
