@@ -19,18 +19,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.work import Workspace, arrow_rows, partitions, text_bytes
+from corvane.llm.work import Workspace, arrow_rows, lean, partitions, text_bytes
 
 BLOCK_BYTES = 4_000_000
 LAST = 2**63 - 1  # stands for a null id, after all others
 
 
 class Blocks:
-    def __init__(self, docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", carry: list[str] = (), block_bytes: int = BLOCK_BYTES):
-        """``carry``: columns whose rows go along with their texts (see ``carried``)."""
+    def __init__(self, docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", carry: list[str] = (), block_bytes: int = BLOCK_BYTES, encode=None):
+        """``carry``: columns whose rows go along with their texts (see ``carried``). ``encode(lengths, data)`` gives what is
+        kept in their place: a number per text, and bytes."""
         self.spark, self.work, self.parts = docs.sparkSession, work, partitions(docs.sparkSession)
         self.table = f"corvane_{uuid.uuid4().hex}"
-        schema = "block long, ids binary, lengths binary, data binary" + ", others binary" * bool(carry)
+        schema = "block long, size long, ids binary, lengths binary, data binary" + ", others binary" * bool(carry)
         names = [x.split()[0] for x in schema.split(", ")]
 
         def run(batches):
@@ -38,12 +39,15 @@ class Blocks:
 
             def row():
                 values = [np.array(ids, np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), b"".join(pieces)]
+                if encode:
+                    numbers, values[2] = encode(np.array(lengths, np.int64), np.frombuffer(values[2], np.uint8))
+                    values[1] = numbers.astype(np.int64).tobytes()
                 if carry:
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, others[0].schema) as out:
                         out.write_table(pa.Table.from_batches(others))
                     values.append(sink.getvalue().to_pybytes())
-                return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names)
+                return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names)
 
             for batch in batches:
                 data, offsets = text_bytes(batch.column(1))
@@ -64,10 +68,14 @@ class Blocks:
             if ids:
                 yield row()
 
-        packed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in carry)).mapInArrow(run, schema)
+        packed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c) for c in carry)).mapInArrow(lean(run), schema)
         with arrow_rows(self.spark):
             packed.write.format("parquet").option("path", f"{work.root}/blocks").option("compression", "zstd").bucketBy(self.parts, "block").saveAsTable(self.table)
 
+    def size(self) -> int:
+        """Bytes of all texts."""
+        return self.rows().agg(F.sum("size")).first()[0] or 0
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -107,7 +115,7 @@ def map_blocks(df: DataFrame, f, schema: str, others: bool = False) -> DataFrame
 
     arrow_schema = None if others else arrow_of(schema)
     df = df if others else df.drop("others")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
