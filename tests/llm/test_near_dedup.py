@@ -89,3 +89,20 @@ def test_repeated_and_null_ids(spark):
 def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     assert result(op4_minhash_near_dedup(spark, "/root/testdata/sf0.01")) == brute(rows, 3, 85)
+
+
+def test_columns_of_any_name(spark):
+    names = ["gone_key", "corvane_gone", "id", "near_row", "text_digest", "component_id", "Kept"]
+    for ids in ((2, 1, 3), (2, 2, 3)):
+        rows = [(i, t, *range(k * 10, k * 10 + len(names))) for k, (i, t) in enumerate(zip(ids, ("a b c d e f g", "a b c d e f g", None)))]
+        df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names))
+        out = drop_near_duplicates(df)
+        assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted({min(ids[:2]), 3})
+
+
+def test_a_crowd_of_partners_is_dealt(spark, monkeypatch):
+    from corvane.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    rows = corpus(4)
+    assert result(near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), shingle=3, percent=85)) == brute(rows, 3, 85)

@@ -51,13 +51,14 @@ def test_chats(spark):
         r = chats.where(F.col("conv_id").eqNullSafe(F.lit(c))).first()
         assert [(x.role, x.text) for x in r.recovered] == [t[1:] for t in turns]
         assert r.formatted.count("</turn>\n") == len(turns)
-        spans = chat_format.loss_spans(chats.where(F.col("conv_id").eqNullSafe(F.lit(c)))).orderBy("n").collect()
-        back = "".join(r.formatted[s.start : s.start + s.length] for s in spans)
-        for code, raw in (("\\c", ":"), ("\\h", "#"), ("\\l", "<"), ("\\b", "\\")):
-            back = back.replace(code, raw)
-        assert len(spans) == sum(t[1] == "assistant" for t in turns)
-        if c == 2:
-            assert back == "first"
+        back = []
+        for m in r.mask:
+            x = r.formatted.encode()[m.start : m.start + m.length].decode()
+            for code, raw in (("\\c", ":"), ("\\h", "#"), ("\\l", "<"), ("\\b", "\\")):
+                x = x.replace(code, raw)
+            back.append(x)
+        assert back == [t[2] for t in turns if t[1] == "assistant"]
+        assert chats.where(F.col("conv_id").eqNullSafe(F.lit(c))).select(chat_format.masked_text(F.col("formatted"), F.col("mask"))).first()[0] == "".join(back)
     assert chat_format.format_chats(df.limit(0)).collect() == []
 
 
@@ -77,9 +78,32 @@ def test_shards(spark):
     assert sharding.shard_rows(df.limit(0), 16, order=["doc_id"]).collect() == []
 
 
+def feistel(x, n, seed):
+    """The permutation in plain integers."""
+    word = 2**64
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % word
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % word
+        return x ^ (x >> 31)
+
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for r in range(6):
+            left, right = right, left ^ (mixed((right + seed * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % word) & ((1 << half) - 1))
+        x = left << half | right
+        if x < n:
+            return x
+
+
 def test_shard_query(spark):
     rows = sharding.op6_sharding(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    order = sorted(rows, key=lambda r: (r.doc_id, r.text_crc32))
+    for number, r in enumerate(order):
+        place = feistel(number, len(rows), 20_240_501)
+        assert (r.row_number, r.shard, r.slot) == (number, place % 16, place // 16)
     assert len(rows) == len(texts) and all((r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "rows", None) for r in rows)
 
 
@@ -117,6 +141,67 @@ def test_decontamination(spark):
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def test_decontamination_with_columns_of_any_name(spark):
+    item = "One two THREE four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, "xx " + item + " yy zz vv ww", 7, 8, 9), (2, "clean", 1, 2, 3)], "doc_id long, text string, n_words long, Hit_Items long, corvane_x long")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontaminate.decontaminate(d, b, drop_share=0.9)
+    assert out.columns == d.columns and sorted(map(tuple, out.collect())) == [(1, "xx  yy zz vv ww", 7, 8, 9), (2, "clean", 1, 2, 3)]
+    assert {(r.doc_id, r.n_words) for r in decontaminate.scan(d, b, keep=["doc_id", "n_words"]).collect()} == {(1, 16), (2, 1)}
+
+
+def test_chunks_hold_their_bound(spark):
+    words = " ".join("w%d" % k for k in range(30_000))
+    b = spark.createDataFrame([(i, "the same item in many copies of it and so on") for i in range(300)] + [(1000, words)], "item_id long, text string")
+    pieces = decontaminate.pieces_of(b, 10, "item_id", "text").cache()
+    dealt, parts = decontaminate.chunked(pieces, 80_000)
+    sizes = {r.chunk: r.s for r in dealt.groupBy("chunk").agg(F.sum(F.octet_length("item") + F.octet_length("piece")).alias("s")).collect()}
+    assert parts > 1 and max(sizes.values()) <= 80_000
+    d = spark.createDataFrame([(1, words), (2, "here: the same item in many copies of it and so on"), (3, " ".join(words.split()[9_990:10_030]))], "doc_id long, text string")
+    out = {r.doc_id: (sum(e - s for s, e in zip(r.hit_starts, r.hit_ends)), len(r.hit_items)) for r in decontaminate.scan(d, b, keep=["doc_id"], chunk_bytes=80_000).collect()}
+    assert out == {1: (30_000, 1), 2: (11, 300), 3: (40, 1)}
+
+
+def test_quality_query_against_brute_force(spark):
+    """Evidence by the same model in one process; rates, strengths and posteriors from plain sums."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows, model = docs.collect(), quality.train(docs, labels)
+    p = model([(r.text or "").encode() for r in rows])
+    evidence = {r.doc_id: 1 - (1 - a) * (1 - b) for r, (a, b) in zip(rows, p.tolist())}
+    sites, hosts = {}, {}
+    for r in rows:
+        sites.setdefault((r.source, r.lang), []).append(evidence[r.doc_id])
+        hosts.setdefault(r.source, []).append(evidence[r.doc_id])
+    n, mean = len(rows), sum(evidence.values()) / len(rows)
+    within = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in sites.values()) / (n - len(sites))
+    of = lambda v: sum(v) / len(v)
+    spread2 = sum(len(v) * (of(v) - of(hosts[h])) ** 2 for (h, _), v in sites.items()) - (len(sites) - len(hosts)) * within
+    between2 = spread2 / (n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in sites.items()))
+    between1 = (sum(len(v) * (of(v) - mean) ** 2 for v in hosts.values()) - (len(hosts) - 1) * within) / (n - sum(len(v) ** 2 for v in hosts.values()) / n)
+    k1, k2 = (max(1.0, min(within / b, 1e12)) if b > 0 else 1e12 for b in (between1, between2))
+    logit = lambda x: np.log(min(max(x, 1e-9), 1 - 1e-9) / (1 - min(max(x, 1e-9), 1 - 1e-9)))
+    got = {r.doc_id: r for r in quality.op10_quality_classifier(spark, sf).collect()}
+    assert len(got) == n
+    for r in rows:
+        e, h, s = evidence[r.doc_id], hosts[r.source], sites[r.source, r.lang]
+        host = (sum(h) - e + k1 * mean) / (len(h) - 1 + k1)
+        path = (sum(s) - e + k2 * host) / (len(s) - 1 + k2)
+        posterior = 1 / (1 + np.exp(-(logit(e) + logit(path) - logit(mean))))
+        g = got[r.doc_id]
+        assert np.allclose([g.evidence, g.host_rate, g.path_rate, g.posterior], [e, host, path, posterior], atol=1e-6) and g.kept == (g.posterior < 0.5)
+
+
+def test_sites_that_differ_count(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, "s%d" % (i % 4), "p%d" % (i % 8), float(min(max(r.normal(0.2 + 0.6 * (i % 4 == 1), 0.1), 0.0), 1.0))) for i in range(800)]
+    scored = spark.createDataFrame(rows, "id long, host string, path string, corvane_evidence double")
+    sites = quality.site_rates(scored, quality.Workspace(spark, "test"), "host", "path")
+    w = sites.first()
+    assert w.corvane_host_weight < 2 and w.corvane_path_weight > 100
+    assert quality.with_posterior(scored, sites, host="host", path="path").count() == 800
+
+
 def test_quality_on_held_out_labels(spark):
     """Models see other labels than those they are held against."""
     d = "/root/testdata/sf0.1"
@@ -136,4 +221,7 @@ def test_quality_of_odd_tables(spark):
         out = quality.judge(df, lab, keep=["doc_id"]).collect()
         assert len(out) == len(rows) and all(0 <= r.corvane_posterior <= 1 for r in out)
     assert quality.judge(df.limit(0), labels).collect() == []
+    clash = df.withColumns({"corvane_evidence": F.lit(5), "K": F.lit(6), "corvane_column_0": F.lit(7)})
+    assert quality.keep_good(clash, labels).columns == clash.columns and {r.corvane_evidence for r in quality.keep_good(clash, labels).collect()} == {5}
+    assert len(quality.judge(clash, labels).collect()) == len(rows)
     assert quality.keep_good(df, labels.limit(0)).columns == df.columns

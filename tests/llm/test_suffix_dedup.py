@@ -84,3 +84,28 @@ def test_contexts_that_agree_in_36_bits_only(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for parts in (1, 2):
         assert result(passages(df.repartition(parts))) == brute(rows)
+
+
+def test_rows_of_one_id_and_one_length_keep_their_own_texts(spark):
+    held = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, held), (5, "A" * 10 + held), (5, held + "B" * 10), (None, held + " x")]
+    out = dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, " x"), (1, held), (5, "A" * 10), (5, "B" * 10)]
+
+
+def test_columns_of_any_name(spark):
+    held = "one two three four five six seven eight nine ten eleven twelve"
+    names = ["kept", "n_bytes", "judged_key", "block", "corvane_null", "Text_", "id", "blobs"]
+    rows = [(i, t, *([i * 10 + k for k in range(len(names))])) for i, t in ((1, held), (2, held + " more"), (3, None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names))
+    out = dedup_passages(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, " more", *rows[1][2:]), rows[2]]
+    assert len(passages(df).collect()) == 3
+
+
+def test_long_texts(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long), (2, "start " + long[1000:200_000] + " end"), (3, long[:49]), (4, "a" * 200_000)]
+    assert result(passages(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from corvane.llm.topk import top_k
 from pyspark.sql import functions as F
 
@@ -39,3 +40,21 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 5 == 0).collect() == []
+
+
+def test_rows_of_one_id_are_one_query(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.25, 0.5]), (2, [-1.0, 0.75]), (3, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (1, 2, 100):
+        out = top_k(df, F.col("vec_id") == 100, k=4, scale=100, block=block, query_block=block)
+        assert sorted((r["rank"], r.vec_id, r.score) for r in out.collect()) == [(1, 2, 7500), (2, 1, 5000), (3, 1, 5000), (4, 3, 0)]
+
+
+def test_scores_beyond_doubles_and_beyond_integers(spark):
+    big = 2.0**29
+    rows = [(0, [big + 1.0, 1.0]), (1, [big + 1.0, 3.0]), (2, [big + 1.0, 2.0]), (3, [-big, 0.0])]
+    out = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3, scale=1).collect()
+    a = 2**29 + 1
+    assert sorted((r["rank"], r.vec_id, r.score) for r in out) == [(1, 1, a * a + 3), (2, 2, a * a + 2), (3, 3, -(2**29) * a)]
+    with pytest.raises(Exception, match="too large|64-bit"):
+        top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
