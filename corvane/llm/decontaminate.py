@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.work import Shield, Workspace, read, texts_of
+from corvane.llm.work import Shield, Workspace, lean, read, texts_of
 
 #: Letters and digits stay, A-Z become a-z, other ASCII separates; bytes of longer characters stay.
 WORDS = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
@@ -136,7 +136,7 @@ def pieces_of(benchmark: DataFrame, n: int, item: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(pieces, pa.binary())], ["item", "piece"])
 
     named = F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item")
-    return benchmark.select(named, F.col(text).cast("string").alias("text")).mapInArrow(run, "item string, piece binary").distinct()
+    return benchmark.select(named, F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "item string, piece binary").distinct()
 
 
 def chunked(pieces: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
@@ -185,7 +185,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, *, n: int, keep: list[str], tex
                 yield pa.RecordBatch.from_arrays([*out, *new], [*source, *NAMES])
 
         schema = ", ".join(f"`{c}` {t}" for c, t in state.select(*source).dtypes) + ", " + FOUND
-        state = state.mapInArrow(run, schema)
+        state = state.mapInArrow(lean(run), schema)
         if part + 1 < parts:
             state = work.save(state, f"part{part}")
     return state.select(*keep, *NAMES)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.work import Workspace, read
+from corvane.llm.work import Workspace, lean, read
 
 PUNCTUATION = ".,;:!?"
 #: Entries of a worker's memos: chunks of text, and a quarter more of their cores. About 500 bytes each, all told.
@@ -136,7 +136,7 @@ def cut_pieces(docs: DataFrame, path: str, *, limit: int, key: str, text: str, e
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *[pa.list_(pa.int32())] * keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.strip().split()[0] for x in schema.split(",")])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def full_patterns(present: np.ndarray, limit: int) -> np.ndarray:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -11,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_libc = ctypes.CDLL(None)
+
 #: Rows handed to a Python worker at once. Whole texts of any length go in, so the number is small.
 ARROW_ROWS = 256
 
@@ -89,6 +94,27 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
         spark.conf.set(key, before)
 
 
+def release_memory() -> None:
+    """Gives back to the system what a worker process holds and doesn't use: workers serve many tasks of many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(run):
+    """``run`` (batches to batches) that leaves no unused memory behind."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
