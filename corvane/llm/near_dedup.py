@@ -13,7 +13,7 @@ Equal sets are one class. Between classes:
    bucket's component of most members.
 3. Members of buckets that are still apart meet on their rarest shingles (prefix filter with positions): two sets that
    reach the threshold share a shingle that is early in both, in any common order of shingles; here by how many such
-   members hold it, counted in a sketch of fixed size that only orders, so its errors cost time and no link. Pairs of
+   members hold it, counted in a sketch of bounded size that only orders, so its errors cost time and no link. Pairs of
    different components that meet there are judged on full sets.
 
 So every pair that shares a band is either in one component already or judged on full sets, nothing is capped, and no
@@ -170,9 +170,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace,
     return joined.select("x", "y", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
-def holders_sketch(sets: DataFrame, bits: int = 18) -> np.ndarray:
-    """How many sets hold a shingle, by the low ``bits`` of its hash: tasks count, the driver gets the sums."""
-    piece = 1 << 14
+def holders_sketch(sets: DataFrame, total: int) -> np.ndarray:
+    """How many sets hold a shingle, by the low bits of its hash: tasks count, the driver gets the sums.
+
+    ``total`` shingles in all sets get about a counter each, from 1 MB of counters up to 16 MB, which is what is sent out.
+    """
+    piece, bits = 1 << 14, min(22, max(18, total.bit_length()))
 
     def count(batches):
         counts = np.zeros(1 << bits, np.uint32)
@@ -196,7 +199,8 @@ def holders_sketch(sets: DataFrame, bits: int = 18) -> np.ndarray:
 def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """rep, n, component, shingle, place: the first shingles of each member by rarity, as many as a partner may need."""
     mine = members.join(sets.withColumnRenamed("id", "rep"), "rep")
-    sketch = sets.sparkSession.sparkContext.broadcast(holders_sketch(mine))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    sketch = sets.sparkSession.sparkContext.broadcast(holders_sketch(mine, total))
 
     def run(batches):
         counts = sketch.value
