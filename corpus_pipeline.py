@@ -30,12 +30,15 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_pieces(docs, packing.TOKENIZER, limit=2048)
+    return packing.pack_pieces(docs, packing.TOKENIZER, limit=2048, kept=MEMO)
 
 
 #: A repeat of so many bytes is a passage. Longer than a license line or a heading, shorter than fifty words.
 PASSAGE_BYTES = 150
 
+#: Entries of a worker's memos of tokens: few, since workers also serve the other stages.
+MEMO = 150_000
+
 STAGES = [
     ("quality_classifier", keep_good),
     ("minhash_near_dedup", drop_near_duplicates),
@@ -49,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, work = read(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    docs, work, before = read(spark, sf_dir, "documents"), Workspace(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with Workspace.temporary():
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
