@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions.vector import dot, normalize
+from corvane.operators.ranking import knn_between
 
 
 def vote_all(ids: Column) -> Column:
@@ -28,17 +29,16 @@ def vote_highest(ranks: dict[str, float]):
     return vote
 
 
-def classify(candidates: DataFrame, labeled: DataFrame, clusters: DataFrame, *, k: int = 16, strategy=vote_all, key: str = "id", vector: str = "embedding", order: str = "ord") -> DataFrame:
+def classify(candidates: DataFrame, labeled: DataFrame, clusters: DataFrame, *, path: str, k: int = 16, strategy=vote_all, key: str = "id", vector: str = "embedding", order: str = "ord") -> DataFrame:
     """key, cluster_id (null unless accepted), distance, votes, total_votes, accepted.
 
     labeled: order, vector, cluster_ids. clusters: cluster_id, centroid, threshold (null: none). The most votes win;
-    ties go to the cluster that was voted for first. A candidate without votes has no distance.
+    ties go to the cluster that was voted for first. A candidate without votes has no distance. Keys and orders are integers;
+    candidates meet labelled rows in blocks, whose tables go to ``path``.
     """
     c = candidates.select(F.col(key).alias("cand"), normalize(F.col(vector)).alias("v"))
-    near = labeled.select(F.col(order).alias("ord"), normalize(F.col(vector)).alias("u"), "cluster_ids")
-    pairs = c.select("cand", "v").crossJoin(near).select("cand", "ord", "cluster_ids", dot(F.col("v"), F.col("u")).alias("s"))
-    rank = F.row_number().over(W.partitionBy("cand").orderBy(F.desc("s"), "ord"))
-    votes = pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("cand", "rank", F.posexplode(strategy(F.col("cluster_ids"))).alias("at", "cluster"))
+    near = knn_between(candidates, labeled, k, path=path, query_key=key, key=order, vector=vector).select(F.col("query_id").alias("cand"), F.col("id").alias("ord"), "rank")
+    votes = near.join(labeled.select(F.col(order).alias("ord"), "cluster_ids"), "ord").select("cand", "rank", F.posexplode(strategy(F.col("cluster_ids"))).alias("at", "cluster"))
     known = clusters.select(F.col("cluster_id").alias("cluster"), normalize(F.col("centroid")).alias("centroid"), "threshold")
     tally = votes.join(known.select("cluster"), "cluster", "left_semi").groupBy("cand", "cluster").agg(F.count("*").alias("votes"), F.min(F.struct("rank", "at")).alias("first"))
     won = tally.groupBy("cand").agg(F.min(F.struct((-F.col("votes")).alias("n"), "first", "cluster")).alias("best"), F.sum("votes").alias("total_votes"))

@@ -73,6 +73,11 @@ def knn_blocks(rows: DataFrame, queries: Column, k: int, *, path: str, key: str
     Null ids, and vectors that are null or empty or hold a null, NaN or infinity, take no part; vectors meet those of their own
     length; ties go by key.
     """
+    return knn_between(rows.where(queries), rows, k, path=path, query_key=key, key=key, vector=vector, block=block, query_block=query_block)
+
+
+def knn_between(queries: DataFrame, rows: DataFrame, k: int, *, path: str, query_key: str = "query_id", key: str = "id", vector: str = "embedding", block: int = 8192, query_block: int = 512) -> DataFrame:
+    """``knn_blocks`` of the rows of one table against those of another; keys are integers."""
     spark = rows.sparkSession
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -85,10 +90,10 @@ def knn_blocks(rows: DataFrame, queries: Column, k: int, *, path: str, key: str
             spark.conf.set(conf, before)
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    asked = rows.where(queries).select(key, vector)
+    asked = queries.select(query_key, vector)
     n = asked.count()
     index = save(_packed(rows, key, vector, block), "rows", 1024)
-    packed = save(_packed(asked.repartition(max(1, -(-n // query_block)), key), key, vector, query_block), "queries", 1024)
+    packed = save(_packed(asked.repartition(max(1, -(-n // query_block)), query_key), query_key, vector, query_block), "queries", 1024)
     pairs = index.crossJoin(packed.select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "vectors"))))
 
     def run(batches):

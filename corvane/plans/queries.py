@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import metrics, text, vector
 from corvane.operators import classify as kc
-from corvane.operators import cluster, embed, hybrid, lexical, ranking, state
+from corvane.operators import ann, cluster, embed, hybrid, lexical, ranking, state
 from corvane.sources.sql import InList, SqlStore, tagged
 from corvane import streaming
 
@@ -167,6 +167,14 @@ def knn_topk(spark, d):
     return out.select("query_id", F.col("id").alias("vec_id"), "rank", r6("distance").alias("distance"))
 
 
+def ann_topk(spark, d):
+    """``knn_topk`` by the inverted lists."""
+    path, rows = scratch(spark, "ann"), t(spark, d, "embeddings")
+    index = ann.build(rows, path=f"{path}/index", lists=32, key="vec_id")
+    out = index.search(rows.where("vec_id % 50 = 0"), 5, path=path, probes=20, key="vec_id")
+    return out.select("query_id", F.col("id").alias("vec_id"), "rank", r6("distance").alias("distance"))
+
+
 def rank_by_vector(spark, d):
     return ranking.rank_by_vector(t(spark, d, "embeddings"), query_vector(), key="vec_id", threshold=0.0, limit=20).select("vec_id", r6("similarity").alias("similarity"))
 
@@ -331,7 +339,7 @@ def _classified(spark, d, strategy):
     own = _centroids(spark, d).select(F.col("id").alias("cluster_id"), F.col("embedding").alias("centroid"), F.lit(0.9).alias("threshold"))
     up = literals(spark, [(f"p{i}", *FIXED_CENTROIDS[i]) for i in range(3)], "cluster_id string, " + ", ".join(f"c{j} double" for j in range(DIMS)))
     up = up.select("cluster_id", F.array(*(f"c{j}" for j in range(DIMS))).alias("centroid"), F.lit(None).cast("double").alias("threshold"))
-    out = kc.classify(t(spark, d, "embeddings"), labeled, own.unionByName(up), k=5, strategy=strategy, key="vec_id")
+    out = kc.classify(t(spark, d, "embeddings"), labeled, own.unionByName(up), path=scratch(spark, "classify"), k=5, strategy=strategy, key="vec_id")
     return out.select("vec_id", "cluster_id", r6("distance").alias("distance"), "votes", "total_votes", "accepted")
 
 
@@ -609,7 +617,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, bm25_corpus_stats, bm25_term_df, bm25_postings, bm25_score, bm25_batch_topk, bm25_normalized, query_expand, query_rewrite, embedding_dims, top_terms_by_lang, content_hash_dups, sanitize_text,
-        hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
+        hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, ann_topk, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
         find_threshold, pairs_above_threshold, hybrid_score, hybrid_boosts, hybrid_explain_parts, hybrid_formula_text, rerank_boosts, fts_and_match, fts_websearch, fts_hybrid_rank,
         kmeans_assign_step, kmeans_update_step, kmeans_fit, kmeans_packed, kmeans_search, silhouette_exact, silhouette_sampled, classify_vote_all, classify_vote_subset, classify_vote_deepest,
         classify_vote_specific, sample_near_centroid, sample_at_mode, eval_summary, eval_gates, dedup_should_embed, dedup_mark, embed_batches_fixed, embed_batches_budget, embed_hashing,

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 from corvane.functions import text
-from corvane.operators import cluster, embed, hybrid, lexical, numbering, state
+from corvane.operators import ann, cluster, embed, hybrid, lexical, numbering, state
 from corvane.queries import QUERIES
 from corvane.sources import sql
 from pyspark.sql import functions as F
@@ -233,3 +233,14 @@ def test_vectors_of_other_lengths_are_refused(spark):
         from corvane.functions.vector import of_dims
 
         spark.range(1).select(of_dims(F.array(F.lit(1.0)), 64)).collect()
+
+
+def test_inverted_lists_find_nine_in_ten(spark, tmp_path):
+    exact = {(r.query_id, r.vec_id) for r in QUERIES["knn_topk"](spark, SF).collect()}
+    found = {(r.query_id, r.vec_id) for r in QUERIES["ann_topk"](spark, SF).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    index = ann.build(rows, path=f"file://{tmp_path}/i", lists=9, key="vec_id", block=50)
+    assert sum(len(r.ids) // 8 for r in index.blocks.collect()) == rows.count()
+    whole = index.search(rows.where("vec_id % 50 = 0"), 5, path=f"file://{tmp_path}/q", probes=9, key="vec_id")
+    assert {(r.query_id, r.id) for r in whole.collect()} == exact

@@ -135,13 +135,13 @@ def test_exact_silhouette(spark, tmp_path):
         assert cluster.exact_silhouette(x).first().silhouette == pytest.approx(cluster.silhouette(x).first().silhouette, abs=1e-12)
 
 
-def test_classify(spark):
+def test_classify(spark, tmp_path):
     labeled = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate([([1.0, 0.0], ["a", "root"]), ([0.9, 0.1], ["a"]), ([0.0, 1.0], ["b", "root"])])], "ord int, embedding array<double>, cluster_ids array<string>")
     clusters = spark.createDataFrame([("a", [1.0, 0.0], 0.5), ("b", [0.0, 1.0], 0.01)], "cluster_id string, centroid array<double>, threshold double")
     cand = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.3, 1.0])], "id int, embedding array<double>")
-    out = {r.id: r for r in kc.classify(cand, labeled, clusters, k=1).collect()}
+    out = {r.id: r for r in kc.classify(cand, labeled, clusters, path=f"file://{tmp_path}/a", k=1).collect()}
     assert (out[1].cluster_id, out[1].votes, out[1].accepted) == ("a", 1, True) and out[2].cluster_id is None and out[2].distance > 0.01 and not out[2].accepted
-    out = kc.classify(cand, labeled.limit(0), clusters).collect()
+    out = kc.classify(cand, labeled.limit(0), clusters, path=f"file://{tmp_path}/b").collect()
     assert all(r.distance == math.inf and r.votes == 0 for r in out)
     assert one(spark, kc.vote_highest({"x": 1, "y": 3, "z": 3})(F.array(F.lit("x"), F.lit("y"), F.lit("z")))) == ["y"] and one(spark, kc.vote_subset([])(F.array(F.lit("x")))) == []
 
