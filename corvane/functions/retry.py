@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import datetime
 import json
 import os
 import random
@@ -42,23 +43,40 @@ def retry_with_backoff(call, *, max_retries=3, base_delay_ms=1000.0, max_delay_m
     raise AssertionError("not reached")
 
 
+SESSION = uuid.uuid4().hex[:16]
+
+
 class EventLog:
-    """JSON lines on standard error, if ``CORVANE_LOG`` is set or ``enabled`` says so."""
+    """JSON lines on standard error, if the environment's ``variable`` is set or ``enabled`` says so.
+
+    With ``domains`` only events of those are written; an event's domain stands before its first dot.
+    """
 
-    def __init__(self, enabled: bool | None = None, stream=None, **context):
-        self.enabled = bool(os.environ.get("CORVANE_LOG")) if enabled is None else enabled
-        self.stream, self.context, self.session_id = stream or sys.stderr, context, uuid.uuid4().hex
+    def __init__(self, enabled: bool | None = None, stream=None, *, domains=None, variable: str = "CORVANE_LOG", **context):
+        self.enabled = bool(os.environ.get(variable)) if enabled is None else enabled
+        self.stream, self.context, self.domains, self.session_id = stream or sys.stderr, context, domains and set(domains), SESSION
+
+    def correlate(self, **fields) -> None:
+        """Fields that all events carry from now on; ``session_id`` replaces the process's own."""
+        self.session_id = fields.pop("session_id", self.session_id)
+        self.context = {**self.context, **fields}
 
     def event(self, name: str, **fields) -> None:
-        if self.enabled:
-            print(json.dumps({"event": name, "session_id": self.session_id, **self.context, **fields}, default=str), file=self.stream)
+        domain, dot, _ = name.partition(".")
+        if not self.enabled or self.domains is not None and not (dot and domain in self.domains):
+            return
+        now = datetime.datetime.now(datetime.UTC).isoformat()
+        print(json.dumps({"ts": now, "event": name, "session_id": self.session_id, **self.context, **fields}, default=str), file=self.stream)
 
     @contextlib.contextmanager
     def timing(self, name: str, **fields):
+        """Around a block, which may await: one event with its duration, and its error if it raises one."""
         began = time.perf_counter()
+        error = {}
         try:
             yield
-        except Exception as error:
-            self.event(name, ok=False, error=str(error), duration_ms=(time.perf_counter() - began) * 1000, **fields)
+        except BaseException as raised:
+            error = {"error.type": type(raised).__name__, "error.message": str(raised)}
             raise
-        self.event(name, ok=True, duration_ms=(time.perf_counter() - began) * 1000, **fields)
+        finally:
+            self.event(name, duration_ms=round((time.perf_counter() - began) * 1000), **fields, **error)

@@ -266,10 +266,11 @@ def stride_sample(rows: DataFrame, most: int, *, order: str, group: str | None =
     return rows.join(picked, F.col(order).eqNullSafe(F.col("corvane_picked")), "left_semi")
 
 
-def silhouette(rows: DataFrame, *, order: str = "id", group: str = "cluster_id", vector: str = "embedding", sample: int = 2000, most: int = 200) -> DataFrame:
-    """One row. At most ``sample`` points against at most ``most`` members of each cluster; both bounds are part of the
+def silhouette(rows: DataFrame, *, order: str = "id", group: str = "cluster_id", vector: str = "embedding", sample: int = 2000, most: int = 200, packed: bool = False) -> DataFrame:
+    """One row; ``packed``: vectors are of unit length and taken as they are. At most ``sample`` points against at most ``most`` members of each cluster; both bounds are part of the
     definition, and the sampled sides are what is joined. A point alone in its cluster has a = 0; one cluster: 0."""
-    slim = rows.select(F.col(order).alias("ord"), F.col(group).alias("cluster"), normalize(F.col(vector)).alias("v"))
+    unit = F.col(vector).cast("array<double>") if packed else normalize(F.col(vector))
+    slim = rows.select(F.col(order).alias("ord"), F.col(group).alias("cluster"), unit.alias("v"))
     members = stride_sample(slim, most, order="ord", group="cluster").select(F.col("ord").alias("m"), F.col("cluster").alias("other"), F.col("v").alias("u"))
     pairs = stride_sample(slim, sample, order="ord").crossJoin(members).where("ord <> m")
     means = pairs.groupBy("ord", "cluster", "other").agg(F.avg(1 - dot(F.col("v"), F.col("u"))).alias("d"))

@@ -115,8 +115,11 @@ def text_rank(terms: Column, query: Column) -> Column:
     return F.aggregate(F.transform(asked, one), F.lit(0.0), lambda s, x: s + x)
 
 
-def hybrid_rank(rows: DataFrame, query: Column, query_text: str, *, columns: dict[str, str], key: str = "id", vector: str = "embedding", weight: float = 0.3, where: Column | None = None, limit: int = 20) -> DataFrame:
-    """Filter, similarity and rank, rank over the best rank of what passed, weighted sum, best first (ties by key)."""
+def hybrid_rank(rows: DataFrame, query: Column, query_text: str, *, columns: dict[str, str], key: str = "id", vector: str = "embedding", weight: float = 0.3, where: Column | None = None, limit: int = 20, path: str | None = None) -> DataFrame:
+    """Filter, similarity and rank, rank over the best rank of what passed, weighted sum, best first (ties by key).
+
+    With a ``path`` the scores are written there, since they are read twice: for the best rank, and to be fused.
+    """
     found = rows.where(F.col(vector).isNotNull())
     if where is not None:
         found = found.where(where)
@@ -124,6 +127,9 @@ def hybrid_rank(rows: DataFrame, query: Column, query_text: str, *, columns: dic
     if query_text.strip():
         found = found.where(matches_all(F.transform(terms, lambda x: x["term"]), F.lit(query_text)))
     scored = found.select(key, cosine_similarity(F.col(vector), query).alias("similarity"), text_rank(terms, F.lit(query_text)).alias("text_rank"))
+    if path:
+        scored.write.parquet(path)
+        scored = rows.sparkSession.read.schema(scored.schema).parquet(path)
     best = scored.agg(F.greatest(F.coalesce(F.max("text_rank"), F.lit(0.0)), F.lit(1e-9)).alias("best"))
     fused = scored.crossJoin(F.broadcast(best)).withColumn("score", (1 - weight) * F.col("similarity") + weight * F.col("text_rank") / F.col("best"))
     return fused.drop("best").orderBy(F.desc("score"), key).limit(limit)

@@ -251,6 +251,7 @@ m AS (SELECT cluster_id, pos, avg(x) AS x FROM (SELECT cluster_id, unnest({unit(
 SELECT cluster_id, pos::INTEGER AS "at", round(x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)), 6) AS x FROM m""",
     "silhouette_exact": silhouette(10**12, 10**12),
     "silhouette_sampled": silhouette(100, 20),
+    "silhouette_packed": silhouette(150, 30).replace(", 6) AS silhouette", ", 4) AS silhouette"),
     "classify_vote_all": classified("ids"),
     "classify_vote_subset": classified("list_filter(ids, lambda x: x IN ('p0', 'p1', '3'))"),
     "classify_vote_deepest": classified(best_of({"p0": 1, "p1": 1, "p2": 1, **{str(i): 2 for i in range(5)}})),
@@ -298,6 +299,8 @@ CASE WHEN user_id % 4 <> 0 THEN 1::BIGINT END AS records_failed, CASE WHEN user_
     "batch_poll": JOBS + " SELECT id, CASE WHEN status = 'done' THEN 'ended' ELSE 'in_progress' END AS status, status = 'done' AS done FROM jobs",
     "batch_results": "WITH r AS (SELECT event_id, user_id % 4 = 0 AS bad, user_id % 5 = 0 AS broken, props FROM events) SELECT event_id AS custom_id, CASE WHEN bad THEN 'error' WHEN broken THEN 'unparsed' ELSE 'data' END AS outcome, CASE WHEN NOT bad AND NOT broken THEN json_extract_string(props, '$.k') END AS k FROM r",
     "sql_params": "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 30 AND l_discount <= 10 GROUP BY l_returnflag",
+    "sql_cte": "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders WHERE o_totalprice >= 1000 GROUP BY o_custkey) SELECT c_nationkey, count(*) AS n, round(max(total), 2) AS most FROM spent JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey",
+    "file_formats": "SELECT n_nationkey, n_name, n_regionkey, kind FROM nation, (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS kind) WHERE n_regionkey >= 1",
     "sql_in_list": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 1000 GROUP BY o_orderpriority",
     "sql_in_empty": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE false GROUP BY o_orderpriority",
     "stream_upsert": "SELECT doc_id, lang, n_chars FROM documents UNION ALL SELECT unnest([-1, -2]), 'own', -1",

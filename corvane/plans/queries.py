@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import metrics, text, vector
 from corvane.operators import classify as kc
 from corvane.operators import ann, cluster, embed, hybrid, lexical, ranking, state
-from corvane.sources.sql import InList, SqlStore, tagged
+from corvane.sources.sql import InList, SqlStore, files, tagged
 from corvane import streaming
 
 DIMS = 64
@@ -289,7 +289,7 @@ def fts_websearch(spark, d):
 
 
 def fts_hybrid_rank(spark, d):
-    out = hybrid.hybrid_rank(_candidates(spark, d), query_vector(), "anou", columns={"text": "A", "lang": "D"})
+    out = hybrid.hybrid_rank(_candidates(spark, d), query_vector(), "anou", columns={"text": "A", "lang": "D"}, path=scratch(spark, "ranked"))
     return out.select("id", r6("similarity").alias("similarity"), r6("text_rank").alias("text_rank"), r6("score").alias("score"))
 
 
@@ -327,6 +327,13 @@ def silhouette_exact(spark, d):
     return cluster.exact_silhouette(t(spark, d, "embeddings"), group="label").select(r6("silhouette").alias("silhouette"))
 
 
+def silhouette_packed(spark, d):
+    """Over vectors that are kept as 4-byte numbers of unit length."""
+    unit = F.transform(vector.normalize(F.col("embedding")), lambda x: x.cast("float"))
+    rows = t(spark, d, "embeddings").select("vec_id", "label", unit.alias("embedding"))
+    return cluster.silhouette(rows, order="vec_id", group="label", sample=150, most=30, packed=True).select(F.round("silhouette", 4).alias("silhouette"))
+
+
 def silhouette_sampled(spark, d):
     return cluster.silhouette(t(spark, d, "embeddings"), order="vec_id", group="label", sample=100, most=20).select(r6("silhouette").alias("silhouette"))
 
@@ -571,6 +578,23 @@ def sql_params(spark, d):
     return store.query("SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM corvane_lineitem WHERE l_quantity >= $1 AND l_quantity < $2 AND l_discount <= $1 GROUP BY l_returnflag", [10, 30])
 
 
+def sql_cte(spark, d):
+    store = SqlStore(spark, {"corvane_orders": t(spark, d, "orders"), "corvane_customer": t(spark, d, "customer")})
+    sql = "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM corvane_orders WHERE o_totalprice >= $1 GROUP BY o_custkey) SELECT c_nationkey, count(*) AS n, round(max(total), 2) AS most FROM spent JOIN corvane_customer ON c_custkey = o_custkey GROUP BY c_nationkey"
+    return store.query(sql, [1000])
+
+
+def file_formats(spark, d):
+    """A table written in every format, and read through the source for files."""
+    path, nations, found = scratch(spark, "files"), t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), None
+    schema = ", ".join(f"{c} {k}" for c, k in nations.dtypes)
+    for kind in ("parquet", "orc", "json", "csv"):
+        nations.write.format(kind).save(f"{path}/{kind}")
+        rows = files(spark, f"{path}/{kind}", kind, schema, since=1, since_column="n_regionkey").withColumn("kind", F.lit(kind))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def _in_list(spark, d, values):
     store = SqlStore(spark, {"corvane_orders": t(spark, d, "orders")})
     sql, args = tagged(["SELECT o_orderpriority, count(*) AS n FROM corvane_orders WHERE o_orderstatus IN ", " AND o_totalprice > ", " GROUP BY o_orderpriority"], [InList(values), 1000.0])
@@ -619,9 +643,9 @@ QUERIES = {
         tokenize_terms, bm25_corpus_stats, bm25_term_df, bm25_postings, bm25_score, bm25_batch_topk, bm25_normalized, query_expand, query_rewrite, embedding_dims, top_terms_by_lang, content_hash_dups, sanitize_text,
         hash_path, l2_normalize, matryoshka_truncate, cosine_pairs, knn_topk, ann_topk, rank_by_vector, conditional_similarity, point_distance, knn_l2_join, embedding_codec_roundtrip, similarity_matrix,
         find_threshold, pairs_above_threshold, hybrid_score, hybrid_boosts, hybrid_explain_parts, hybrid_formula_text, rerank_boosts, fts_and_match, fts_websearch, fts_hybrid_rank,
-        kmeans_assign_step, kmeans_update_step, kmeans_fit, kmeans_packed, kmeans_search, silhouette_exact, silhouette_sampled, classify_vote_all, classify_vote_subset, classify_vote_deepest,
+        kmeans_assign_step, kmeans_update_step, kmeans_fit, kmeans_packed, kmeans_search, silhouette_exact, silhouette_sampled, silhouette_packed, classify_vote_all, classify_vote_subset, classify_vote_deepest,
         classify_vote_specific, sample_near_centroid, sample_at_mode, eval_summary, eval_gates, dedup_should_embed, dedup_mark, embed_batches_fixed, embed_batches_budget, embed_hashing,
         cost_per_event, cost_ledger, cost_summary, cost_cap, cost_projection, usage_totals, ensure_cached, cas_update, detect_orphans, pipeline_run_log, glossary_find_save, ensure_terms, description_find_save, ensure_description,
-        batch_poll, batch_results, sql_params, sql_in_list, sql_in_empty, stream_upsert, stream_cost_window,
+        batch_poll, batch_results, sql_params, sql_cte, file_formats, sql_in_list, sql_in_empty, stream_upsert, stream_cost_window,
     )
 } | {f"eval_{n}": _metric(m) for n, m in (("precision", "precision"), ("hitrate", "hit_rate"), ("recall", "recall"), ("mrr", "mrr"), ("ndcg", "ndcg"))}

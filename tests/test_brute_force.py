@@ -1,10 +1,14 @@
 """Queries that have no SQL against plain Python over the same tables, and operators around them."""
 
+import asyncio
+import io
+import json
 import math
 
 import numpy as np
 import pytest
 from corvane.functions import text
+from corvane.functions.retry import EventLog
 from corvane.operators import ann, cluster, embed, hybrid, lexical, numbering, state
 from corvane.queries import QUERIES
 from corvane.sources import sql
@@ -244,3 +248,38 @@ def test_inverted_lists_find_nine_in_ten(spark, tmp_path):
     assert sum(len(r.ids) // 8 for r in index.blocks.collect()) == rows.count()
     whole = index.search(rows.where("vec_id % 50 = 0"), 5, path=f"file://{tmp_path}/q", probes=9, key="vec_id")
     assert {(r.query_id, r.id) for r in whole.collect()} == exact
+
+
+def test_tables_of_a_database(spark):
+    """The engine that comes with Spark, in memory."""
+    url, driver = "jdbc:derby:memory:corvane;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = [(i, "n%d" % i) for i in range(40)]
+    spark.createDataFrame(rows, "id int, name string").write.format("jdbc").options(url=url, dbtable="items", driver=driver).save()
+    whole = sql.jdbc(spark, url, "items", driver=driver)
+    parted = sql.jdbc(spark, url, "items", key="id", low=0, high=40, parts=4, driver=driver)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parted.collect())) == rows and parted.rdd.getNumPartitions() == 4
+    store = sql.SqlStore(spark, {"corvane_items": whole})
+    assert store.query("SELECT name FROM corvane_items WHERE id = $1", [7]).first().name == "n7"
+    with pytest.raises(ValueError):
+        sql.jdbc(spark, url, "items", key="id; drop")
+
+
+def test_events():
+    out = io.StringIO()
+    log = EventLog(True, out, domains=["search"], repo="r")
+    log.event("search.done", n=1)
+    log.event("other.done")
+    log.event("nodomain")
+    log.correlate(session_id="s", collection=3)
+
+    async def work():
+        with pytest.raises(KeyError):
+            with log.timing("search.slow", k=2):
+                await asyncio.sleep(0)
+                raise KeyError("x")
+
+    asyncio.run(work())
+    EventLog(False, out).event("search.silent")
+    first, second = map(json.loads, out.getvalue().splitlines())
+    assert (first["event"], first["repo"], first["n"]) == ("search.done", "r", 1) and len(first["session_id"]) == 16 and first["ts"]
+    assert second["session_id"] == "s" and second["collection"] == 3 and second["error.type"] == "KeyError" and second["duration_ms"] >= 0 and second["k"] == 2
