@@ -5,7 +5,7 @@
    length); no piece is sorted.
 2. The histogram of lengths (at most ``limit`` numbers) goes to the driver. All patterns of up to three documents that
    fill a sequence exactly are enumerated; non-negative least squares fits repeat counts to the histogram; counts are
-   rounded within what is there.
+   rounded, fractions carried on from pattern to pattern, within what is there.
 3. The residual histogram is packed by best fit in decreasing order, counts at a time: full patterns again, of any
    number of documents.
 4. The list of patterns in use is broadcast; rank and length of a piece give its sequence and offset. Its rows are
@@ -225,22 +225,39 @@ def best_fit(counts: np.ndarray, limit: int) -> list[tuple[int, tuple]]:
     return closed + [x for group in bins.values() for x in group]
 
 
+def rounded(patterns: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[int, tuple]]:
+    """Whole repeats of patterns, taken from ``left``.
+
+    A fit spreads over very many patterns of a fraction each, so fractions are carried along: in order of their lengths,
+    where neighbours are alike, a pattern has as many repeats as its fraction lifts the sum to the next whole numbers. What
+    is not there any more is carried on too.
+    """
+    out, carried, have = [], 0.0, left.tolist()
+    order = np.lexsort(patterns.T)
+    for lengths, share in zip(patterns[order].tolist(), x[order].tolist(), strict=True):
+        carried += share
+        if carried < 0.5:
+            continue
+        times: dict[int, int] = {}
+        for length in lengths:
+            if length:
+                times[length] = times.get(length, 0) + 1
+        n = min(int(carried + 0.5), *(have[length] // k for length, k in times.items()))
+        if n:
+            carried -= n
+            for length, k in times.items():
+                have[length] -= n * k
+            out.append((n, tuple(times.items())))
+    left[:] = have
+    return out
+
+
 def plan(counts: np.ndarray, limit: int) -> list[tuple[int, tuple]]:
     """Patterns with their repeats for a histogram of lengths 0 .. limit."""
     left = counts.astype(np.int64).copy()
-    present = np.flatnonzero(left[1:limit]) + 1
-    patterns = full_patterns(present, limit)
-    repeats = np.rint(fit(patterns, left)).astype(np.int64)
-    out = []
-    for k in np.argsort(-repeats, kind="stable"):
-        if not repeats[k]:
-            break
-        lengths, times = np.unique(patterns[k][patterns[k] > 0], return_counts=True)
-        n = int(min(repeats[k], (left[lengths] // times).min()))
-        if n:
-            left[lengths] -= n * times
-            out.append((n, tuple(zip(lengths.tolist(), times.tolist(), strict=True))))
-    return out + best_fit(left, limit)
+    patterns = full_patterns(np.flatnonzero(left[1:limit]) + 1, limit)
+    fitted = rounded(patterns, fit(patterns, left), left)
+    return fitted + best_fit(left, limit)
 
 
 def places(patterns: list[tuple[int, tuple]], limit: int) -> np.ndarray:
