@@ -72,9 +72,9 @@ class Blocks:
         with arrow_rows(self.spark):
             packed.write.format("parquet").option("path", f"{work.root}/blocks").option("compression", "zstd").bucketBy(self.parts, "block").saveAsTable(self.table)
 
-    def size(self) -> int:
-        """Bytes of all texts."""
-        return self.rows().agg(F.sum("size")).first()[0] or 0
+    def parts_of(self, part_bytes: int) -> int:
+        """How many hash parts to make: about one per ``part_bytes`` of text, and no fewer than tasks."""
+        return max(self.parts, -(-(self.rows().agg(F.sum("size")).first()[0] or 0) // part_bytes))
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -139,8 +139,13 @@ def split(part: np.ndarray, parts: int, *arrays: np.ndarray):
             yield p, [a[edges[p] : edges[p + 1]] for a in moved]
 
 
-def reduce_parts(df: DataFrame, f, schema: str, key: str = "part") -> DataFrame:
-    """f(list of rows of a part as tuples) yields (column lists); the rows of a part are its blobs."""
+def reduce_parts(df: DataFrame, f, schema: str, parts: int, key: str = "part") -> DataFrame:
+    """f(list of rows of a part as tuples) yields (column lists); the rows of a part are its blobs.
+
+    A part is in memory as a whole, and so are few others: there are as many tasks as ``parts``, which grow with the corpus.
+    """
+    if parts > partitions(df.sparkSession):
+        df = df.repartition(parts, key)
     names = df.columns
     arrow_schema = arrow_of(schema)
 

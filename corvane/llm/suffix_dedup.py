@@ -20,7 +20,8 @@ Work per block of texts is numpy; between blocks travel sorted arrays of distinc
 in a third of all rows travels once per block. Gram hashes are only a filter; contexts and windows are compared by 64
 bits.
 
-Defined cases: a null or empty text has no bytes and loses none; texts shorter than ``span`` lose nothing; a null id
+Defined cases: a null or empty text has no bytes and loses none; a text is never split, and a very long one is a block of
+its own, at some tens of bytes of memory a byte; texts shorter than ``span`` lose nothing; a null id
 counts as larger than all others; rows with the same id never remove each other's bytes; repeated rows under a larger
 id go whole; an empty table gives no rows; other columns are ignored (``dedup_passages`` keeps them).
 """
@@ -38,6 +39,8 @@ from corvane.llm.blocks import LAST, Blocks, carried, map_blocks, reduce_parts,
 from corvane.llm.work import Shield, Workspace, mix64, read
 
 GRAM, GAP, GROUP = 16, 64, 9
+#: Bytes of text a hash part, about.
+PART_BYTES = 16_000_000
 TABLE = np.random.default_rng(50_016).integers(0, 2**63, 257, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 C1, C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -155,7 +158,7 @@ def _send(part, key, ids, block, parts, *more):
 def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str, carry: list[str] = ()) -> tuple[Blocks, DataFrame]:
     """The blocks of the texts and, for each, blobs of covered windows: pairs (first start, last start) as 4-byte numbers."""
     blocks = Blocks(docs, work, key=key, text=text, carry=carry)
-    parts = blocks.parts
+    parts = blocks.parts_of(PART_BYTES)
 
     def runs(block, ids, lengths, data, _):
         a, (names, rank) = Anchors(lengths, data, span, parts), ranks(ids)
@@ -289,13 +292,13 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str,
         yield out if out[0] else None
 
     sent = map_blocks(blocks.rows(), runs, "part int, block long, keys binary, ids binary, grams binary")
-    told = reduce_parts(sent, open_runs, "block long, blob binary")
+    told = reduce_parts(sent, open_runs, "block long, blob binary", parts)
     shape = "part int, block long, keys binary, ids binary, more binary"
     asked = blocks.save(map_blocks(blocks.with_info(told), contexts, shape), "asked")
     own_keys = asked.where("part = -2").select("block", F.concat(F.lit(b"\0"), "keys").alias("blob"))
-    cores = reduce_parts(asked.where("part >= 0"), shared_cores, "block long, blob binary")
+    cores = reduce_parts(asked.where("part >= 0"), shared_cores, "block long, blob binary", parts)
     looked = blocks.save(map_blocks(blocks.with_info(own_keys.unionByName(cores)), windows, shape), "looked")
-    found = reduce_parts(looked.where("part >= 0"), look_up, "block long, blob binary")
+    found = reduce_parts(looked.where("part >= 0"), look_up, "block long, blob binary", parts)
     known = asked.unionByName(looked).where("part = -1").select("block", F.col("keys").alias("blob"))
     return blocks, known.unionByName(found)
 
