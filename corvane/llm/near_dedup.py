@@ -173,15 +173,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace,
 def holders_sketch(sets: DataFrame, total: int) -> np.ndarray:
     """How many sets hold a shingle, by the low bits of its hash: tasks count, the driver gets the sums.
 
-    ``total`` shingles in all sets get about a counter each, from 1 MB of counters up to 16 MB, which is what is sent out.
+    ``total`` shingles in all sets get about a counter each, from 1 MB of counters up to 4 MB, which is what is sent out.
     """
-    piece, bits = 1 << 14, min(22, max(18, total.bit_length()))
+    piece, bits = 1 << 14, min(20, max(18, total.bit_length()))
 
     def count(batches):
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), np.uint64) & np.uint64((1 << bits) - 1), minlength=1 << bits).astype(np.uint32)
+                np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         for k in range(0, 1 << bits, piece):
             if counts[k : k + piece].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts[k : k + piece].tobytes()], pa.binary())], ["piece", "counts"])
