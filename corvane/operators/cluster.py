@@ -98,12 +98,18 @@ def assign(rows: DataFrame, centroids: list, *, key: str = "id", vector: str = "
 
 
 class _Rows:
-    """Normalised vectors in blocks of numpy, in order, kept where they are."""
+    """Normalised vectors in order: a table under ``path``, which a lost executor does not take with it, or else kept on the
+    executors' disks and made again where one is lost."""
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, order: str, dtype: str):
+    def __init__(self, rows: DataFrame, key: str, vector: str, order: str, dtype: str, path: str | None = None):
         ordered = rows.select(F.col(order).alias("ord"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).repartitionByRange("ord").sortWithinPartitions("ord")
         unit = normalize(F.col("v")) if dtype == "float64" else F.col("v")
-        self.df = ordered.select("ord", "key", unit.alias("v")).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+        self.df = ordered.select("ord", "key", unit.alias("v")).withColumn("part", F.spark_partition_id())
+        if path:
+            self.df.write.parquet(path)
+            self.df = rows.sparkSession.read.schema(self.df.schema).parquet(path)
+        else:
+            self.df.persist(StorageLevel.DISK_ONLY)
         self.dtype = dtype
         self.counts = [(r.part, r.n) for r in self.df.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
         self.n = sum(n for _, n in self.counts)
@@ -202,12 +208,12 @@ class LocalClusters:
         return kmeans(rows, k, **options)
 
 
-def kmeans(rows: DataFrame, k: int, *, seed: int, key: str = "id", vector: str = "embedding", order: str | None = None, max_iterations: int = 100, runs: int = 1, packed: bool = False, on_progress=None) -> Clusters:
+def kmeans(rows: DataFrame, k: int, *, seed: int, key: str = "id", vector: str = "embedding", order: str | None = None, max_iterations: int = 100, runs: int = 1, packed: bool = False, on_progress=None, path: str | None = None) -> Clusters:
     """The best of ``runs`` by inertia. ``packed``: 4-byte vectors taken as they are, and no silhouette."""
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
     order = order or key
-    data = _Rows(rows, key, vector, order, "float32" if packed else "float64")
+    data = _Rows(rows, key, vector, order, "float32" if packed else "float64", path)
     spark = rows.sparkSession
     try:
         if not data.n:
@@ -251,8 +257,9 @@ def kmeans(rows: DataFrame, k: int, *, seed: int, key: str = "id", vector: str =
 def kmeans_search(rows: DataFrame, low: int, high: int, *, seed: int, provider: ClusterProvider | None = None, **options) -> list[Clusters]:
     """Every k of the range that the rows allow, best silhouette first."""
     n = rows.count()
-    by = provider or LocalClusters()
-    return sorted((by.cluster(rows, k, seed=seed, **options) for k in range(low, min(high, n) + 1)), key=lambda c: -c.silhouette)
+    by, path = provider or LocalClusters(), options.pop("path", None)
+    each = lambda k: {"path": f"{path}/{k}"} if path else {}
+    return sorted((by.cluster(rows, k, seed=seed, **options, **each(k)) for k in range(low, min(high, n) + 1)), key=lambda c: -c.silhouette)
 
 
 def stride_sample(rows: DataFrame, most: int, *, order: str, group: str | None = None) -> DataFrame:

@@ -309,17 +309,17 @@ def kmeans_update_step(spark, d):
 
 
 def kmeans_fit(spark, d):
-    found = cluster.kmeans(t(spark, d, "embeddings"), 4, seed=42, key="vec_id", max_iterations=10)
+    found = cluster.kmeans(t(spark, d, "embeddings"), 4, seed=42, key="vec_id", max_iterations=10, path=scratch(spark, "kmeans"))
     return found.assignments.select("vec_id", "cluster_id", r6("distance").alias("distance"))
 
 
 def kmeans_packed(spark, d):
-    found = cluster.kmeans(t(spark, d, "embeddings"), 4, seed=42, key="vec_id", max_iterations=10, packed=True)
+    found = cluster.kmeans(t(spark, d, "embeddings"), 4, seed=42, key="vec_id", max_iterations=10, packed=True, path=scratch(spark, "kmeans"))
     return found.centroids.select("cluster_id", "size")
 
 
 def kmeans_search(spark, d):
-    found = cluster.kmeans_search(t(spark, d, "embeddings"), 2, 4, seed=42, key="vec_id", max_iterations=4)
+    found = cluster.kmeans_search(t(spark, d, "embeddings"), 2, 4, seed=42, key="vec_id", max_iterations=4, path=scratch(spark, "kmeans"))
     return spark.createDataFrame([(i, c.k, round(c.silhouette, 6), c.iterations, c.converged) for i, c in enumerate(found)], "place int, k int, silhouette double, iterations int, converged boolean")
 
 
