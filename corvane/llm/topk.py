@@ -146,13 +146,15 @@ def top_k(rows: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, k
     repeated = n > ids  # several vectors of one id: one query
     index = work.save(pack(rows, key, vector, scale=scale, block=block, index=True), "index")
     packed = work.save(pack(asked.repartition(max(1, -(-n // query_block)), key), key, vector, scale=scale, block=query_block, index=False), "queries")
-    pairs = index.crossJoin(packed.select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "vectors")))).where("dims = q_dims")
+    pairs = index.crossJoin(packed.select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "vectors"))))
 
     def run(batches):
         bars: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 dims = row["dims"]
+                if dims != row["q_dims"]:  # as a condition Spark would join by it, in one task
+                    continue
                 ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], "<i8").reshape(-1, dims)
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], "<i8").reshape(-1, dims)
                 if len(bars) > 64:
