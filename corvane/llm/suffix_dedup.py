@@ -16,6 +16,9 @@ match.
 A full r-index of the corpus is not built: its backward search names one occurrence, not the smallest document, and
 its transform needs the corpus sorted as one string. See the README.
 
+Contexts are dealt by their own hash and grams by theirs, so a phrase that a third of all rows hold in as many contexts
+is no one task's load.
+
 Work per block of texts is numpy; between blocks travel sorted arrays of distinct hashes (see ``blocks``), so a passage
 in a third of all rows travels once per block. Gram hashes are only a filter; contexts and windows are compared by 64
 bits.
@@ -43,11 +46,12 @@ GRAM, GAP, GROUP = 16, 64, 9
 PART_BYTES = 16_000_000
 TABLE = np.random.default_rng(50_016).integers(0, 2**63, 257, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
+SEVERAL = np.uint64(2**64 - 1)  # stands for a gram's contexts where a block has several
 C1, C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class Anchors:
-    """The anchors of a block: document, gram position, first and last window start, part, gram (32 bits) and key (context)."""
+    """The anchors of a block: document, gram position, first and last window start, part, gram and key (its context)."""
 
     def __init__(self, lengths: np.ndarray, data: np.ndarray, span: int, parts: int):
         n_docs, width = len(lengths), span - GRAM + 1
@@ -92,8 +96,16 @@ class Anchors:
                 context ^= context >> np.uint64(29)
                 at += GRAM
             self.key = mix64((context ^ h[self.p + right - GRAM]) * C2)
-            self.part = ((gram >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            self.gram = gram.astype(np.uint32)
+            self.part, self.gram = (self.key % np.uint64(parts)).astype(np.int64), gram
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct grams in order, a context of each, and whether it has several."""
+        order = np.lexsort((self.key, self.gram))
+        g, k = self.gram[order], self.key[order]
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        starts = np.flatnonzero(new)
+        return g[starts], k[starts], k[starts] != k[np.append(starts[1:], len(g)) - 1]
 
     def hashes(self, at: np.ndarray, length: int, kind: int) -> np.ndarray:
         """Of the strings of ``length`` bytes that start at ``at``."""
@@ -162,33 +174,40 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str,
 
     def runs(block, ids, lengths, data, _):
         a, (names, rank) = Anchors(lengths, data, span, parts), ranks(ids)
-        if len(a.p):
-            one, _, _ = first_of(a.part, a.key, rank[a.doc])
-            yield _send(a.part[one], a.key[one], names[rank[a.doc[one]]], block, parts, a.gram[one])
+        if not len(a.p):
+            return
+        one, _, _ = first_of(a.part, a.key, rank[a.doc])
+        out = _send(a.part[one], a.key[one], names[rank[a.doc[one]]], block, parts)
+        yield [*out, [b""] * len(out[0])]
+        # Of a gram with several contexts here a mark goes out, not all of them: at most one entry a gram and block.
+        grams, only, many = a.grams()
+        out = [[] for _ in range(5)]
+        for p, (g, k) in split((grams % np.uint64(parts)).astype(np.int64), parts, grams, np.where(many, SEVERAL, only)):
+            for column, value in zip(out, (parts + p, block, g.tobytes(), b"", k.tobytes()), strict=True):
+                column.append(value)
+        yield out
 
     def open_runs(rows):
-        sizes = [len(r[2]) // 8 for r in rows]
         key = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        ids = np.concatenate([decode_ids(r[3]) for r in rows])
-        gram = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows])
-        source = np.repeat(np.arange(len(rows)), sizes)
-        order = np.lexsort((ids, key, gram))
-        k, i, gram = key[order], ids[order], gram[order]
+        source = np.repeat(np.arange(len(rows)), [len(r[2]) // 8 for r in rows])
+        context = rows[0][0] < parts
+        value = np.concatenate([decode_ids(r[3]) if context else np.frombuffer(r[4], np.uint64) for r in rows])
+        order = np.lexsort((value, key))
+        k, v = key[order], value[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
-        least = i[new][np.cumsum(new) - 1]
-        new_gram = np.ones(len(k), bool)
-        new_gram[1:] = gram[1:] != gram[:-1]
-        of_gram = np.cumsum(new_gram) - 1
-        contested = (np.bincount(of_gram, weights=new) > 1)[of_gram]
-        # A gram's smallest document can match nothing smaller, but its windows are what others match.
-        told = np.flatnonzero((least < i) | contested)
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        if context:  # which documents have a smaller one in their run, and which
+            least = v[starts][group]
+            told = np.flatnonzero(least < v)
+        else:  # which grams have several contexts, for the blocks that know one
+            least = k
+            several = v[starts] != v[np.append(starts[1:], len(v)) - 1]
+            told = np.flatnonzero(several[group] & (v != SEVERAL))
         out = [[], []]
-        by = source[order][told]
-        for s, (kk, least_of, own) in split(by, len(rows), k[told], least[told], i[told]):
-            later = least_of < own
+        for s, (kk, least_of) in split(source[order][told], len(rows), k[told], least[told]):
             out[0].append(rows[s][1])
-            out[1].append(int(later.sum()).to_bytes(8, "little") + kk[later].tobytes() + least_of[later].tobytes() + kk[~later].tobytes())
+            out[1].append(b"\0" + kk.tobytes() + least_of.tobytes() if context else b"\1" + kk.tobytes())
         yield out if out[0] else None
 
     def contexts(block, ids, lengths, data, blobs):
@@ -198,26 +217,21 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str,
         own = rank[a.doc]
         _, _, least = first_of(a.part, a.key, own)
         done = least < own
-        later_key, later_id, contested = [], [], []
-        for blob in blobs:
-            n = int.from_bytes(blob[:8], "little")
-            later_key.append(np.frombuffer(blob, np.uint64, n, 8))
-            later_id.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n))
-            contested.append(np.frombuffer(blob, np.uint64, offset=8 + 16 * n))
-        # Neither part nor gram is sent back: the context covers the gram.
-        if later_key:
-            k, g = np.concatenate(later_key), np.concatenate(later_id)
+        later = [np.frombuffer(x, np.uint64, offset=1) for x in blobs if x[0] == 0]
+        grams, _, many = a.grams()
+        contested = np.sort(np.concatenate([grams[many], *(np.frombuffer(x, np.uint64, offset=1) for x in blobs if x[0] == 1)]))
+        # The gram is not sent back: the context covers it.
+        if later:
+            k, g = np.concatenate([x[: len(x) // 2] for x in later]), np.concatenate([x[len(x) // 2 :] for x in later]).view(np.int64)
             order = np.argsort(k, kind="stable")
             k, g = k[order], g[order]
-            if len(k):
-                spot = np.minimum(np.searchsorted(k, a.key), len(k) - 1)
-                done |= (k[spot] == a.key) & (g[spot] < names[own])
+            spot = np.minimum(np.searchsorted(k, a.key), len(k) - 1)
+            done |= (k[spot] == a.key) & (g[spot] < names[own])
         spans = np.stack([a.lo[done], a.hi[done]], axis=1).astype(np.uint32)
         yield [[-1], [block], [spans.tobytes()], [b""], [b""]] if len(spans) else None
-        c = np.sort(np.concatenate(contested)) if contested else np.zeros(0, np.uint64)
-        if not len(c):
+        if not len(contested):
             return
-        asked = np.flatnonzero(~done & (c[np.minimum(np.searchsorted(c, a.key), len(c) - 1)] == a.key))
+        asked = np.flatnonzero(~done & (contested[np.minimum(np.searchsorted(contested, a.gram), len(contested) - 1)] == a.gram))
         if not len(asked):
             return
         yield [[-2], [block], [np.unique(a.key[asked]).tobytes()], [b""], [b""]]

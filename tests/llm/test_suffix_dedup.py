@@ -109,3 +109,14 @@ def test_long_texts(spark):
     long = "".join(r.choice("abcdefgh ") for _ in range(300_000))
     rows = [(1, long), (2, "start " + long[1000:200_000] + " end"), (3, long[:49]), (4, "a" * 200_000)]
     assert result(passages(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_a_phrase_in_as_many_contexts_as_documents(spark):
+    """Blocks that know one context of a gram, blocks that know several, and windows that only meet across them."""
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, tail = "a phrase all of them hold, ", say(30)
+    rows = [(i, say(r.randint(0, 60)) + phrase + (tail if i % 9 == 0 else say(40))) for i in range(120)]
+    for parts in (1, 7, 40):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert result(passages(df)) == brute(rows)
