@@ -48,12 +48,19 @@ def current(ledger: Snapshot) -> int:
 
 
 def migrate(spark: SparkSession, folder: str, ledger: Snapshot, suffix: str = ".sql") -> list[int]:
-    """Applies what is newer than the ledger, in order; stops at the first file that fails."""
+    """Applies what is newer than the ledger, in order; stops at the first file that fails.
+
+    A file is parsed as a whole before any of it runs, so one that is not SQL changes nothing. What a statement did that ran
+    before another failed can't be undone in Spark; the file is not in the ledger then, and is run again.
+    """
     done = []
     at = current(ledger)
+    parser = spark._jsparkSession.sessionState().sqlParser()
     for number, path in files(folder, suffix):
         if number > at:
             text = path.read_text()
+            for statement in statements(text):
+                parser.parsePlan(statement)
             for statement in statements(text):
                 spark.sql(statement)
             ledger.append(spark.createDataFrame([(number, path.name, checksum(text))], SCHEMA))

@@ -11,7 +11,7 @@ from corvane.functions import text
 from corvane.functions.retry import EventLog
 from corvane.operators import ann, cluster, embed, hybrid, lexical, numbering, state
 from corvane.queries import QUERIES
-from corvane.sources import sql
+from corvane.sources import migrations, sql
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -283,3 +283,30 @@ def test_events():
     first, second = map(json.loads, out.getvalue().splitlines())
     assert (first["event"], first["repo"], first["n"]) == ("search.done", "r", 1) and len(first["session_id"]) == 16 and first["ts"]
     assert second["session_id"] == "s" and second["collection"] == 3 and second["error.type"] == "KeyError" and second["duration_ms"] >= 0 and second["k"] == 2
+
+
+def test_a_migration_that_does_not_parse_changes_nothing(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "1_a.sql").write_text("CREATE OR REPLACE TEMP VIEW corvane_half AS SELECT 1 AS x; SELEKT 2;")
+    ledger = state.Snapshot(spark, f"file://{tmp_path}/ledger", migrations.SCHEMA)
+    with pytest.raises(Exception, match="SELEKT|PARSE"):
+        migrations.migrate(spark, str(folder), ledger)
+    assert migrations.current(ledger) == 0 and not spark.catalog.tableExists("corvane_half")
+    (folder / "1_a.sql").write_text("CREATE OR REPLACE TEMP VIEW corvane_half AS SELECT 1 AS x;")
+    assert migrations.migrate(spark, str(folder), ledger) == [1]
+
+
+def test_a_remote_service_fails_as_a_whole():
+    sizes = []
+
+    def serve(texts):
+        sizes.append(len(texts))
+        if len(sizes) > 2:
+            raise ValueError("gone")
+        return [[1.0]] * len(texts)
+
+    remote = embed.RemoteProvider(serve, 1)
+    assert len(remote.embed(["a"] * 200)) == 200 and sizes == [128, 72]
+    with pytest.raises(ValueError):
+        remote.embed(["a"])
