@@ -21,6 +21,7 @@ columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import os
+import string
 import sys
 import zlib
 from array import array
@@ -36,16 +37,18 @@ from pyspark.sql import functions as F
 
 from corvane.llm.work import Workspace, lean, read
 
-PUNCTUATION = ".,;:!?"
+#: ASCII signs but the apostrophe, which may join what follows it.
+SIGNS = string.punctuation.replace("'", "")
 #: Entries of a worker's memos: chunks of text, and a quarter more of their cores. About 500 bytes each, all told.
-KEPT = 800_000
+KEPT = 1_400_000
 
 
 class WordTokenizer:
     """Token ids of whole texts by way of their white-space chunks, each tokenised once a worker.
 
-    Sound for tokenizers whose pre-tokens never span white space (the caller's choice of file). An ASCII chunk of
-    letters and a tail of punctuation is two pre-tokens in any case, so both are looked up on their own, in lower case.
+    Sound for tokenizers whose pre-tokens never span white space and never hold letters and signs (the caller's choice of
+    file). A chunk of Latin letters and a tail of signs is two pre-tokens in any case, so both are looked up on their own,
+    ASCII letters in lower case.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -60,11 +63,13 @@ class WordTokenizer:
     def learn(self, chunks: list[str]) -> None:
         parts = {}
         for chunk in chunks:
-            core = chunk.rstrip(PUNCTUATION)
-            if core.isascii() and core.isalpha():
+            core = chunk.rstrip(SIGNS)
+            if not core.isalpha():
+                parts[chunk] = (chunk, "")
+            elif core.isascii():
                 parts[chunk] = (core.lower(), chunk[len(core) :])
             else:
-                parts[chunk] = (chunk, "")
+                parts[chunk] = (core, chunk[len(core) :]) if max(core) < "\u0250" else (chunk, "")
         if len(self.cores) > self.kept * 5 // 4:
             self.cores.clear()
         cores = self.cores

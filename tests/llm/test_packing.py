@@ -31,7 +31,7 @@ def check(rows, docs, limit):
 
 def test_pieces_of_odd_texts(spark):
     r = random.Random(1)
-    words = ["the", "Thon.", "été", "it's", "<|endoftext|>", "áb", "日本語", "x" * 40, "THE!!", "3.14", " ", "\u001c", "İ", "ς", "ΑΣ", "naïve,", "co-op", "tab\tnl\nx"]
+    words = ["the", "Thon.", "été", "it's", "<|endoftext|>", "áb", "日本語", "x" * 40, "THE!!", "3.14", " ", "\u001c", "İ", "ς", "ΑΣ", "naïve,", "co-op", "tab\tnl\nx", "tianer$$$", "ofthe.***", "a_b", "x_", "don't!", "it's$", "it'", "élan&&&", "ÉLAN!", "e\u0301!", "\u0149!", "\u01c5.", "\u02bcs", "кот!", "$", "x'$", "\xaa.", "ß?"]
     docs = [(i, r.choice((" ", "\n", "  ")).join(r.choice(words) for _ in range(r.randint(0, 200)))) for i in range(80)]
     docs += [(100, None), (101, ""), (None, "null id"), (102, docs[3][1]), (102, docs[3][1]), (103, "word " * 3000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], SCHEMA).repartition(3)
