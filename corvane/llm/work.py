@@ -52,7 +52,7 @@ class Workspace:
                 space.drop("")
 
     def save(self, df: DataFrame, name: str, rows: int = ARROW_ROWS) -> DataFrame:
-        with arrow_rows(self.spark, rows):
+        with arrow_rows(self.spark, rows), shuffle_files_go(self.spark):
             df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
@@ -94,6 +94,19 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def shuffle_files_go(spark: SparkSession):
+    """What a query shuffled is deleted at its end, not when the driver happens to collect its garbage: what it wrote is
+    read from then on."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Gives back to the system what a worker process holds and doesn't use: workers serve many tasks of many stages."""
     gc.collect()

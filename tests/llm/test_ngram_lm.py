@@ -92,3 +92,26 @@ def test_large_counts_and_wide_gaps_travel():
 def test_query_beats_unigrams_on_held_out_texts(spark):
     rows = [r for r in op9_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_few_large_counts_travel_beside_many_small_ones():
+    v = np.arange(4000).reshape(-1, 2) % 250
+    v[7], v[900, 1] = (255, 2**40), 256
+    blob = ngram_lm.encode_values(v)
+    assert (ngram_lm.decode_values(blob, 2) == v).all() and len(blob) < 4100
+
+
+def test_query_scores_by_trigrams(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert result(op9_lm_scoring(spark, "/root/testdata/sf0.001")) == brute([tuple(r) for r in rows])
+
+
+def test_order_of_numbers_that_agree_in_their_upper_bits():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 5, 3000, 100_000):
+        wide, near = r.integers(0, 2**64, n, dtype=np.uint64), np.uint64(1 << 63) + r.integers(0, 50, n, dtype=np.uint64)
+        for h in (wide, near, np.concatenate([wide, near, near[:7]]), np.append(wide >> np.uint64(40), np.uint64(2**64 - 1))):
+            order, out = ngram_lm.sorted_by(h)
+            assert (order == np.argsort(h, kind="stable")).all() and (out == np.sort(h)).all()
+            found, place = ngram_lm.ranked(h)
+            assert (found == np.unique(h)).all() and (found[place] == h).all()
