@@ -306,9 +306,11 @@ def covered(docs: DataFrame, work: Workspace, *, span: int, key: str, text: str,
         yield out if out[0] else None
 
     sent = map_blocks(blocks.rows(), runs, "part int, block long, keys binary, ids binary, grams binary")
-    told = reduce_parts(sent, open_runs, "block long, blob binary", parts)
+    # A table of its own: what all blocks sent, by far the largest exchange, is deleted before the next one.
+    told = blocks.save(reduce_parts(sent, open_runs, "block long, blob binary", parts), "told")
     shape = "part int, block long, keys binary, ids binary, more binary"
     asked = blocks.save(map_blocks(blocks.with_info(told), contexts, shape), "asked")
+    work.drop("told")
     own_keys = asked.where("part = -2").select("block", F.concat(F.lit(b"\0"), "keys").alias("blob"))
     cores = reduce_parts(asked.where("part >= 0"), shared_cores, "block long, blob binary", parts)
     looked = blocks.save(map_blocks(blocks.with_info(own_keys.unionByName(cores)), windows, shape), "looked")

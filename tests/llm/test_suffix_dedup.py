@@ -1,7 +1,11 @@
+import glob
 import hashlib
+import os
 import random
+import time
 
 from corvane.llm.suffix_dedup import dedup_passages, op5_suffix_array_dedup, passages
+from corvane.llm.work import Workspace
 
 SCHEMA = "doc_id long, text string, block string"
 
@@ -120,3 +124,22 @@ def test_a_phrase_in_as_many_contexts_as_documents(spark):
     for parts in (1, 7, 40):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         assert result(passages(df)) == brute(rows)
+
+
+def test_an_exchange_is_deleted_before_the_next_one(spark, monkeypatch):
+    """What all blocks send is several times their text: it does not lie beside what follows."""
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data") if os.path.getsize(f) > 10_000}
+    before, seen, save = files(), [], Workspace.save
+
+    def watched(work, df, name, *args, **kwargs):
+        out = save(work, df, name, *args, **kwargs)
+        end = time.time() + 10
+        while files() - before and time.time() < end:  # executors delete in the background
+            time.sleep(0.1)
+        seen.append((name, len(files() - before)))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    op5_suffix_array_dedup(spark, "/root/testdata/sf0.001")
+    assert seen == [("told", 0), ("asked", 0), ("looked", 0), ("judged", 0)]
