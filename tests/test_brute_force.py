@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pytest
-from corvane.functions import text
+from corvane.functions import text, vector
 from corvane.functions.retry import EventLog
 from corvane.operators import ann, cluster, embed, hybrid, lexical, numbering, state
 from corvane.queries import QUERIES
@@ -310,3 +310,27 @@ def test_a_remote_service_fails_as_a_whole():
     assert len(remote.embed(["a"] * 200)) == 200 and sizes == [128, 72]
     with pytest.raises(ValueError):
         remote.embed(["a"])
+
+
+def test_norms_are_computed_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    out = df.select(vector.normalize(F.col("v")).alias("u"))
+    assert [r.u for r in out.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 1
+
+
+def test_silhouettes_are_no_product_of_parts(spark):
+    df = spark.createDataFrame([(i, i % 3, [1.0 + i % 3, i % 7 + 0.5, 1.0]) for i in range(300)], "id long, cluster_id int, embedding array<double>").repartition(5)
+    out = cluster.silhouette(df, sample=50, most=20)
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+    spread = cluster.silhouette(df.drop("cluster_id"), sample=50, most=20, placed=df.select("id", "cluster_id"))
+    assert abs(out.first().silhouette - spread.first().silhouette) < 1e-12
+
+
+def test_searches_order_the_rows_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(40)], "id long, embedding array<double>")
+    found = cluster.kmeans_search(df, 2, 4, seed=3, max_iterations=5, path=f"file://{tmp_path}/k")
+    assert len(list(tmp_path.glob("*-rows"))) == 1
+    for one in found:
+        alone = cluster.kmeans(df, one.k, seed=3, max_iterations=5)
+        assert abs(alone.silhouette - one.silhouette) < 1e-9 and (alone.iterations, alone.converged) == (one.iterations, one.converged)
