@@ -334,3 +334,14 @@ def test_searches_order_the_rows_once(spark, tmp_path):
     for one in found:
         alone = cluster.kmeans(df, one.k, seed=3, max_iterations=5)
         assert abs(alone.silhouette - one.silhouette) < 1e-9 and (alone.iterations, alone.converged) == (one.iterations, one.converged)
+
+
+def test_scores_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, " ".join(["alpha", "beta", "gamma", "delta"][j % 4] for j in range(i % 9))) for i in range(200)] + [(900, None), (901, "omega")], "id int, text string")
+    asked = spark.createDataFrame([("a", "alpha beta alpha"), ("b", "gamma"), ("c", "nothing of it"), ("d", None), ("e", "omega alpha")], "query_id string, text string")
+    index = lexical.build_index(docs)
+    local, joined = lexical.score(index, asked), lexical.score(index, asked, most=3)
+    assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString() and local.schema.names == joined.schema.names
+    x, y = ({(r.query_id, r.id): r.score for r in s.collect()} for s in (local, joined))
+    assert len(x) == local.count() and x.keys() == y.keys() and all(abs(x[i] - y[i]) < 1e-12 for i in x) and ("e", 901) in x
+    assert lexical.score(lexical.build_index(docs.limit(0)), asked).count() == lexical.score(index, asked.limit(0)).count() == lexical.score(lexical.build_index(docs.where("id = 900")), asked).count() == 0
