@@ -139,9 +139,9 @@ def finish_runs(ledger: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def find_terms(glossary: DataFrame, articles: DataFrame, *, key: str = "article_id") -> DataFrame:
-    """Per article its terms by id, null if it has none."""
-    terms = glossary.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "keyword", "definition"))), lambda x: F.struct(x["keyword"].alias("keyword"), x["definition"].alias("definition"))).alias("terms"))
+def find_terms(glossary: DataFrame, articles: DataFrame, *more, key: str = "article_id") -> DataFrame:
+    """Per article its terms by id, null if it has none, and ``more`` aggregates of them."""
+    terms = glossary.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "keyword", "definition"))), lambda x: F.struct(x["keyword"].alias("keyword"), x["definition"].alias("definition"))).alias("terms"), *more)
     return articles.select(key).join(terms, key, "left")
 
 
@@ -161,11 +161,12 @@ def save_descriptions(store: DataFrame, rows: DataFrame, serializer=F.to_json) -
 
 def ensure_terms(glossary: DataFrame, requests: DataFrame, generate, *, key: str = "article_id") -> tuple[DataFrame, DataFrame]:
     """(article, terms, generated) of each request, and the glossary with what was made. ``generate`` maps the requests
-    that have no terms to rows of the glossary's columns; an article it gives none for has null terms."""
+    that have no terms to rows of the glossary's columns; an article it gives none for has null terms. What was made is
+    marked, so that it is made once."""
     made = generate(requests.join(glossary.select(key).distinct(), key, "left_anti")).select(*glossary.columns)
-    saved = save_terms(glossary, made)
-    fresh = made.select(key).distinct().withColumn("generated", F.lit(True))
-    return find_terms(saved, requests, key=key).join(fresh, key, "left").withColumn("generated", F.coalesce("generated", F.lit(False))), saved
+    marked = glossary.withColumn("corvane_made", F.lit(False)).unionByName(made.withColumn("corvane_made", F.lit(True)))
+    found = find_terms(marked, requests, F.max("corvane_made").alias("generated"), key=key)
+    return found.withColumn("generated", F.coalesce("generated", F.lit(False))), save_terms(glossary, made)
 
 
 def ensure_description(store: DataFrame, requests: DataFrame, generate, *, key: str = "article_id", serializer=F.to_json) -> tuple[DataFrame, DataFrame]:

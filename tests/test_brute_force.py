@@ -353,3 +353,9 @@ def test_top_terms_by_count_then_place(spark):
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     want = {("x", "fig", 2, 1), ("x", "pear", 2, 2), ("x", "kiwi", 1, 3), ("y", "lime", 1, 1), ("y", "date", 1, 2), (None, "nut", 1, 1), (None, "oat", 1, 2)}
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_terms_are_made_once(spark):
+    out = QUERIES["ensure_terms"](spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
