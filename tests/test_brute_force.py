@@ -320,8 +320,9 @@ def test_norms_are_computed_once(spark):
 
 
 def test_silhouettes_are_no_product_of_parts(spark):
-    df = spark.createDataFrame([(i, i % 3, [1.0 + i % 3, i % 7 + 0.5, 1.0]) for i in range(300)], "id long, cluster_id int, embedding array<double>").repartition(5)
+    df = spark.createDataFrame([(i, i % 3, [1.0 + i % 3, i % 7 + 0.5, 1.0]) for i in range(300)], "id long, cluster_id int, embedding array<double>")
     out = cluster.silhouette(df, sample=50, most=20)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString().split("Join")[1]  # members are dealt
     assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
     spread = cluster.silhouette(df.drop("cluster_id"), sample=50, most=20, placed=df.select("id", "cluster_id"))
     assert abs(out.first().silhouette - spread.first().silhouette) < 1e-12
